@@ -7,8 +7,6 @@ partition the rows and add per-partition offsets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,34 +93,43 @@ def exact_quantiles(
     return out
 
 
-def first_k(df: DataFrame, k: int, order: list[Column], tie: str) -> Column:
-    """A predicate true for exactly the first ``k`` rows by ``order``, then ``tie``.
+def first_k_many(df: DataFrame, ks: list[int], order: list[Column], tie: str) -> dict[int, Column]:
+    """For each k a predicate true for exactly the first k rows.
 
-    ``order`` are numeric columns ascending, ``tie`` a unique string column. The
-    result is a filter on literals: no sort, no shuffle of the rows.
+    Rows are ordered by the numeric ``order`` columns ascending, then by the
+    unique string ``tie``. A predicate compares with literals: using it needs no
+    sort and no shuffle.
     """
-    if k <= 0:
-        return F.lit(False)
     total = df.count()
-    if k >= total:
-        return F.lit(True)
-    taken: list[Column] = []
-    equal = F.lit(True)
-    left, rest = k, df
-    for column in order:
-        edge = kth_values(rest, column, [left])[left]
-        n_below, n_equal = rest.agg(F.count_if(column < F.lit(edge)), F.count_if(column == F.lit(edge))).first()
-        taken.append(equal & (column < F.lit(edge)))
-        left -= n_below
-        equal = equal & (column == F.lit(edge))
-        rest = rest.where(column == F.lit(edge))
-        if left == n_equal:
-            taken.append(equal)
-            return reduce(lambda a, b: a | b, taken)
-    numbered = global_row_number(rest.select(tie), [F.col(tie)], "rn")
-    last = numbered.where(F.col("rn") == left).first()[tie]
-    taken.append(equal & (F.col(tie) <= F.lit(last)))
-    return reduce(lambda a, b: a | b, taken)
+    out: dict[int, Column] = {k: F.lit(k > 0) for k in ks if k <= 0 or k >= total}
+    inner = sorted({k for k in ks if 0 < k < total})
+    if not inner:
+        return out
+    column = order[0]
+    edges = kth_values(df, column, inner)
+    counts = df.agg(
+        *[F.count_if(column < F.lit(edges[k])).alias(f"b{k}") for k in inner],
+        *[F.count_if(column == F.lit(edges[k])).alias(f"e{k}") for k in inner],
+    ).first()
+    for k in inner:
+        edge, left = F.lit(edges[k]), k - counts[f"b{k}"]
+        if left == counts[f"e{k}"]:
+            out[k] = column <= edge
+            continue
+        tied = df.where(column == edge)
+        if len(order) > 1:
+            among = first_k_many(tied, [left], order[1:], tie)[left]
+        else:
+            # Rows equal in every numeric key: numbered by the tie column.
+            numbered = global_row_number(tied.select(tie), [F.col(tie)], "rn")
+            among = F.col(tie) <= F.lit(numbered.where(F.col("rn") == left).first()[tie])
+        out[k] = (column < edge) | ((column == edge) & among)
+    return out
+
+
+def first_k(df: DataFrame, k: int, order: list[Column], tie: str) -> Column:
+    """A predicate true for exactly the first ``k`` rows by ``order``, then ``tie``."""
+    return first_k_many(df, [k], order, tie)[k]
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -131,10 +138,11 @@ def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     return stages.save(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def cumulative(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+def cumulative(df: DataFrame, order: list[Column], sums: dict[str, str], *, keep_part: str | None = None) -> DataFrame:
     """Running totals over the whole table in ``order``; ``sums`` maps new -> column.
 
     Equal rows of ``order`` must already be one row (aggregate first).
+    ``keep_part`` keeps the number of the range a row is in, increasing in order.
     """
     ranged = _ranged(df, order)
     totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{new}") for new, c in sums.items()])
@@ -145,7 +153,8 @@ def cumulative(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Data
     out = ranged.join(F.broadcast(offsets), "_part")
     for new, column in sums.items():
         out = out.withColumn(new, F.sum(column).over(inside) + F.col(f"_{new}"))
-    return out.drop("_part", *[f"_{n}" for n in sums])
+    out = out.drop(*[f"_{n}" for n in sums])
+    return out.withColumnRenamed("_part", keep_part) if keep_part else out.drop("_part")
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
