@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import BENIGN, DEFAULTS, INSIDER, MALICIOUS, Config
 from ..contracts import ContractError
 from ..functions.scoring import micros
-from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location, transition
+from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location, map_rows, transition
 from .risk import decaying_state
 from .timeline import assign_chunks, carried_previous
 
@@ -125,16 +125,9 @@ def decayed_counts(
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
     observed = steps.select("entity_id", "_at", F.inline(pairs))
     fresh = decayed_sums(observed, ["kind", "value"], {"c": F.lit(1.0)}, span, config)
-    maps = F.array(
-        *[
-            F.transform(
-                F.map_entries(F.coalesce(F.col("seed")[f"{k}_counts"], F.create_map().cast("map<string,bigint>"))),
-                lambda e, k=k: F.struct(F.lit(k).alias("kind"), e["key"].alias("value"), e["value"].alias("n")),
-            )
-            for k in KINDS
-        ]
-    )
-    old = seed.select("entity_id", F.inline(F.flatten(maps)))
+    empty = F.create_map().cast("map<string,bigint>")
+    maps = [map_rows(F.coalesce(F.col("seed")[f"{kind}_counts"], empty), kind) for kind in KINDS]
+    old = seed.select("entity_id", F.inline(F.flatten(F.array(*maps))))
     wide = [t for t in (profiles.wide_entity, profiles.wide_cohort) if t is not None]
     for table in wide:
         keyed = seed.select("entity_id", F.col("seed.key").alias("key"))

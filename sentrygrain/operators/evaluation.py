@@ -16,7 +16,6 @@ from ..functions.scoring import micros
 from .ranking import cumulative, exact_quantiles, first_k_many
 from .timeline import carried_previous
 
-N = F.count(F.lit(1))
 
 
 def _order(s: str) -> list[Column]:
@@ -101,7 +100,7 @@ def detection_metrics(
     alert = F.col(s) >= threshold if budget_fraction is None else budget_masks(df, s, (budget_fraction,))[budget_fraction]
     edge = F.lit(threshold) if budget_fraction is None else F.min(F.when(alert, F.col(s)))
     counts = df.agg(
-        N.alias("n_events"),
+        F.count("*").alias("n_events"),
         F.count_if(F.col(y)).alias("n_positives"),
         F.avg(F.col(y).cast("double")).alias("prevalence"),
         edge.alias("threshold"),
@@ -211,7 +210,7 @@ def score_histogram(df: DataFrame, s: str, y: str = "is_attack", bins: int = 59)
     number = F.when(F.lit(width <= 0), 1).otherwise(
         F.least(F.lit(bins), F.width_bucket(F.col(s), F.lit(low), F.lit(high if high > low else low + 1), F.lit(bins)))
     )
-    counted = df.groupBy(F.col(y).alias("is_attack"), number.cast("bigint").alias("bin")).agg(N.alias("n"))
+    counted = df.groupBy(F.col(y).alias("is_attack"), number.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
     return counted.withColumns({"low": low + (F.col("bin") - 1) * width, "high": low + F.col("bin") * width})
 
 
@@ -325,7 +324,7 @@ def classifier_report(df: DataFrame) -> DataFrame:
     hit = (label == predicted).cast("double")
     counts = with_ratios(
         df.agg(
-            N.alias("n_evaluation_events"),
+            F.count("*").alias("n_evaluation_events"),
             F.avg(hit).alias("overall_accuracy"),
             F.avg(F.when(bad, hit)).alias("malicious_top1_accuracy"),
             F.avg(F.when(label == INSIDER, hit)).alias("insider_drift_recall"),
@@ -347,7 +346,7 @@ def hard_categories(df: DataFrame, masks: dict[str, Column], labels: tuple[str,
     return (
         df.where(F.col("label").isin(*labels))
         .groupBy("label")
-        .agg(N.alias("n_events"), *[F.avg(m.cast("double")).alias(f"{name}_recall") for name, m in masks.items()])
+        .agg(F.count("*").alias("n_events"), *[F.avg(m.cast("double")).alias(f"{name}_recall") for name, m in masks.items()])
     )
 
 
@@ -355,7 +354,7 @@ def alert_burden(alerts: DataFrame, eval_rows: DataFrame, n_suppressed: DataFram
     """Operational load of the alerts that fall into the evaluation rows."""
     inside = alerts.join(eval_rows.select("event_id"), "event_id", "left_semi")
     load = inside.agg(
-        N.alias("n_alerts"),
+        F.count("*").alias("n_alerts"),
         F.count_if(F.col("severity") == "HIGH").alias("n_high"),
         F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"),
         F.count_distinct("entity_id").alias("unique_entities_alerted"),

@@ -100,6 +100,14 @@ def count_maps(counts: DataFrame, config: Config = DEFAULTS) -> tuple[DataFrame,
     return sized.groupBy("key").agg(*maps, *distinct), sized.where(~narrow).select("key", "kind", "value", "n")
 
 
+def map_rows(counts: Column, kind: str) -> Column:
+    """A count map as an array of (kind, value, n)."""
+    return F.transform(
+        F.map_entries(counts),
+        lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("value"), e["value"].alias("n")),
+    )
+
+
 @dataclass
 class Profiles:
     """Fitted profiles: one row per key, plus the wide kinds as rows."""
