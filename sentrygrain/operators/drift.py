@@ -187,6 +187,7 @@ def decayed_moments(steps: DataFrame, seed: DataFrame, config: Config = DEFAULTS
     moving = steps.withColumns({f"_x_{n}": (1.0 - F.col("step")) * v for n, v in values.items()})
     track = {n: f"_x_{n}" for n in ("duration", "bytes")}
     moving = decaying_state(moving, track, half_life_us(config), initial=base.select("entity_id", "duration", "bytes"))
+    moving = moving.withColumn("_at", micros(F.col("timestamp")))
     growth = (1.0 - F.col("step")) * F.col("step")
     span = spans(steps)
     sums = {"n": F.lit(1.0)} | {n: F.col(f"_x_{n}") for n in values}
@@ -279,5 +280,7 @@ def insider_exhibits(gated: DataFrame, counts: DataFrame, top: int = 5) -> DataF
     from .topk import top_per_key
 
     resources = counts.where("kind = 'resource'").join(insiders.select("entity_id"), "entity_id", "left_semi")
-    best = top_per_key(resources, ["entity_id"], [F.desc("ewma_count"), F.asc("value")], top, "rank")
+    # Sums differ in the last digits with the order of addition; ties must not.
+    order = [F.round("ewma_count", 9).desc(), F.asc("value")]
+    best = top_per_key(resources, ["entity_id"], order, top, "rank")
     return insiders.join(best.select("entity_id", "rank", F.col("value").alias("resource"), "ewma_count"), "entity_id")

@@ -283,7 +283,7 @@ def _(p):
     return profiles.moments(_entity_fit(p)).select("key", "n_events", *fields)
 
 
-@query("c03_failure_and_baseline")
+@query("c03_failure_and_baseline", 9)
 def _(p):
     fields = ("auth_failure_rate", "baseline_latitude", "baseline_longitude")
     return profiles.moments(_entity_fit(p)).select("key", *fields)
@@ -683,7 +683,7 @@ def _(p):
     return p.given_risk.select("event_id", *parts, total.alias("contribution_sum"))
 
 
-@query("r21_top_reasons", 2)
+@query("r21_top_reasons", 3)
 def _(p):
     rows = p.given_risk.select("event_id", F.posexplode("reasons").alias("place", "r"))
     return rows.select("event_id", "place", F.col("r.code").alias("code"), F.col("r.contribution").alias("contribution"))
@@ -867,7 +867,20 @@ def _(p):
 
 @query("s02_late_events")
 def _(p):
-    return replay.late_events(_live(p, False))
+    """Benign events come first; attacks delivered after them may be too late."""
+
+    def build():
+        path, root = f"{_folder(p, 'delayed')}/in", f"{_folder(p, 'delayed')}/run"
+        columns = OBSERVATION_SCHEMA.fieldNames()
+        for delayed in (False, True):
+            part = p.events.where((F.col("label") != BENIGN) == F.lit(delayed)).select(*columns)
+            part.write.mode("append").parquet(path)
+            rows = replay.replay_table(
+                p.spark, path, p.profiles, _live_model(p, adapt=False), sensitivity=sensitivity_by_name(), root=root
+            )
+        return replay.late_events(rows)
+
+    return stages.once(p.spark, ("delayed", p.folder), build)
 
 
 @query("s03_live_windows")
@@ -883,7 +896,7 @@ def _(p):
     return rows.select("event_id", "event_count_60m", "recent_resource_breadth_24h")
 
 
-@query("s05_warm_start", 4)
+@query("s05_warm_start")
 def _(p):
     """Training events warm the state up, evaluation events are scored."""
     late = drift.replayed(p.events, p.cutoff)
@@ -935,7 +948,7 @@ def _(p):
     return replay.latency_stats(p.events.withColumn("latency_ms", F.col("session_duration_s") * 1000.0))
 
 
-@query("s10_flat_results")
+@query("s10_flat_results", 4)
 def _(p):
     return _flat(p, False).drop("latency_ms")
 

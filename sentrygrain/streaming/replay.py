@@ -92,11 +92,13 @@ def replay_table(
     schema=OBSERVATION_SCHEMA,
     max_files: int | None = None,
     watermark: str | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Feed a stored table through the live operator until it is used up.
 
-    The checkpoint's offset is the cursor: a stopped replay goes on where it was.
-    Returns the sink table with scored and late rows.
+    ``root`` holds checkpoint and sink; the checkpoint's offset is the cursor, so
+    a replay given the same ``root`` goes on where the last one stopped, with its
+    state. Returns the sink table with scored and late rows.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -104,7 +106,7 @@ def replay_table(
     events = reader.parquet(path)
     if watermark:
         events = events.withWatermark("timestamp", watermark)
-    root = f"{stages.stage_root(spark)}/replay-{uuid.uuid4().hex}"
+    root = root or f"{stages.stage_root(spark)}/replay-{uuid.uuid4().hex}"
     with rocksdb_state(spark):
         results = score_stream(prepare(events, profiles, sensitivity), model)
         query = (

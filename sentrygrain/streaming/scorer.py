@@ -47,6 +47,7 @@ RESULT_SCHEMA = (
     "risk_score double, alerted boolean, alert_suppressed boolean, profile_updated boolean, "
     "profile_source string, profile_confidence double, late boolean, latency_ms double"
 )
+RESULT_COLUMNS = [part.split()[0] for part in RESULT_SCHEMA.split(", ")]
 
 
 class StreamOrderError(ValueError):
@@ -187,7 +188,7 @@ class EntityScorer(StatefulProcessor):
         out = [r for r in (self._one(memory, e) for e in _records(batch)) if r is not None]
         self.memory.update((pickle.dumps(memory),))
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, columns=RESULT_COLUMNS)
 
     def _one(self, memory: EntityMemory, e: dict) -> dict | None:
         began = time.perf_counter()
