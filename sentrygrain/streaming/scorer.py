@@ -202,7 +202,8 @@ class EntityScorer(StatefulProcessor):
         if late:
             if m.strict:
                 raise StreamOrderError(f"event {e['event_id']} is older than its entity's last event")
-            return {c: e.get(c) for c in ("event_id", "timestamp", "entity_id", "entity_type")} | {"late": True}
+            known = {c: e[c] for c in ("event_id", "timestamp", "entity_id", "entity_type")}
+            return dict.fromkeys(RESULT_COLUMNS) | known | {"late": True}
         if e["warm"]:
             memory.commit(e, keep_us, breadth_us)
             return None
