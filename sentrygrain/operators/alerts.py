@@ -73,7 +73,7 @@ def _successors(pages: DataFrame, config: Config) -> DataFrame:
         "entity_id", (F.col("at") + cooldown_us).alias("at"), F.lit(0).alias("after"), "event_id", F.lit(0).alias("rank")
     )
     line = rows.unionByName(probes, allowMissingColumns=True)
-    line = assign_chunks(line, ["entity_id"], "at", config.chunk_rows)
+    line = assign_chunks(line, ["entity_id"], "at", config.chunk_rows, source=pages, fan_out=2)
     levels = range(0, len(SEVERITIES)) if config.risk.escalation_bypasses_cooldown else (0,)
     above = {r: F.when(F.col("rank") > r, F.col("page")) for r in levels}
     per_chunk = line.groupBy("entity_id", "chunk").agg(*[F.min(c).alias(f"_first_{r}") for r, c in above.items()])

@@ -92,7 +92,10 @@ def _timeline(events: DataFrame, config: Config):
     previous = F.struct(
         F.col("_at").alias("at"), "latitude", "longitude", fingerprint().alias("fp"), F.col("resource_accessed").alias("resource")
     )
-    chunked = assign_chunks(timeline, ["entity_id"], "_at", config.chunk_rows)
+    # Per event: itself, one mark per window width, two for the breadth.
+    chunked = assign_chunks(
+        timeline, ["entity_id"], "_at", config.chunk_rows, source=events, fan_out=3 + len(leaving)
+    )
     return chunked, ["_at", "_tie", "_seq", "_kind"], STEPS, F.when(F.col("_kind") == 0, previous)
 
 

@@ -19,17 +19,22 @@ PERIOD_US = 28 * 86_400 * 1_000_000
 SLOT_US = 60 * 1_000_000
 
 
-def assign_chunks(rows: DataFrame, keys: list[str], at: str, chunk_rows: int) -> DataFrame:
+def assign_chunks(
+    rows: DataFrame, keys: list[str], at: str, chunk_rows: int, *, source: DataFrame | None = None, fan_out: int = 1
+) -> DataFrame:
     """Add ``chunk``, increasing with ``at`` (microseconds) inside each key.
 
-    Counting is one map-side combined aggregate on the key columns. The hot-key
+    Counting is one map-side combined aggregate on the key columns; if ``rows``
+    is derived with at most ``fan_out`` rows per row of ``source``, the cheaper
+    ``source`` is counted. The hot-key
     table holds at most rows / chunk_rows keys, so broadcasting it is bounded by
     construction; the slot table is written first, so that Spark sees its true
     size and picks the join accordingly.
     """
     period = F.floor(F.col(at) / PERIOD_US).cast("bigint")
     shifted = period * F.lit(1 << 32)
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
+    counted = (rows if source is None else source).groupBy(*keys).agg((F.count(F.lit(1)) * fan_out).alias("_n"))
+    counted = counted.where(F.col("_n") > chunk_rows)
     hot = stages.save(counted.select(*keys))
     if hot.isEmpty():
         return rows.withColumn("chunk", shifted)

@@ -419,10 +419,21 @@ class _Nothing(_Frozen):
         return 1.0
 
 
+NULLABLE = [
+    f"{side}_{name}"
+    for side in ("own", "cohort")
+    for name in (*SCALARS, *(f"keys_{k}" for k in KINDS), *(f"count_{k}" for k in VALUE_KINDS))
+]
+
+
 def _records(batch: pd.DataFrame) -> Iterator[dict]:
     """Rows as dicts with None for missing, and ``seed_*`` chosen: own, else cohort."""
-    clean = batch.astype(object).where(batch.notna(), None)
-    for e in clean.to_dict("records"):
+    names = list(batch.columns)
+    for row in zip(*[batch[c].tolist() for c in names], strict=True):
+        e = dict(zip(names, row, strict=True))
+        for name in NULLABLE:
+            if e[name] != e[name]:  # NaN stands for NULL
+                e[name] = None
         e["fp"] = e["v_device"]
         side = "own" if e["own_n_events"] is not None else "cohort"
         for name in SCALARS:
