@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import BENIGN, DEFAULTS, INSIDER, MALICIOUS, Config
 from ..contracts import ContractError
 from ..functions.scoring import micros
+from ..sources import stages
 from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location, map_rows, transition
 from .risk import decaying_state
 from .timeline import assign_chunks, carried_previous
@@ -25,12 +26,14 @@ def half_life_us(config: Config) -> float:
 
 
 def gate(events: DataFrame, risk: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Events with ``risk_score`` and ``accepted``; every event needs a score."""
-    scores = risk.select("event_id", "risk_score")
-    unscored = events.join(scores, "event_id", "left_anti").limit(1).count()
-    if unscored:
+    """Events with ``risk_score`` and ``accepted``; every event needs a score.
+
+    The joined table is written once: it is checked for missing scores and then
+    read by every later step.
+    """
+    joined = stages.save(events.join(risk.select("event_id", "risk_score"), "event_id", "left"))
+    if not joined.where("risk_score is null").isEmpty():
         raise ContractError("every replayed event needs a risk score")
-    joined = events.join(scores, "event_id")
     return joined.withColumn("accepted", F.col("risk_score") < config.baseline_update_max_risk)
 
 

@@ -79,9 +79,12 @@ def experienced_entities(
 
 
 def dataset_summary(events: DataFrame) -> DataFrame:
-    """Quality summary of an event table, one row."""
+    """Quality summary of an event table, one row.
+
+    Distinct things are folded to small tables first, each with map-side combine;
+    several distinct counts in one aggregate would multiply the rows instead.
+    """
     n, day = F.count(F.lit(1)), F.to_date("timestamp")
-    of_type = lambda t: F.count_distinct(F.when(F.col("entity_type") == t, F.col("entity_id")))
     flags = events.agg(
         n.alias("total_rows"),
         F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("date_min"),
@@ -92,17 +95,21 @@ def dataset_summary(events: DataFrame) -> DataFrame:
         F.round(F.avg((F.col("label") != BENIGN).cast("double")), 5).alias("attack_prevalence"),
         F.count_if("is_attack").alias("malicious_rows"),
     )
-    distinct = events.agg(
+    entities = events.select("entity_id", "entity_type").distinct()
+    per_type = entities.agg(
         F.count_distinct("entity_id").alias("unique_entities"),
-        of_type("user").alias("users"),
-        of_type("service_account").alias("service_accounts"),
-        of_type("edge_device").alias("edge_devices"),
-        F.count_distinct("resource_accessed").alias("distinct_resources"),
-        F.count_distinct("campaign_id").alias("campaigns_present"),
+        F.count_if(F.col("entity_type") == "user").alias("users"),
+        F.count_if(F.col("entity_type") == "service_account").alias("service_accounts"),
+        F.count_if(F.col("entity_type") == "edge_device").alias("edge_devices"),
     )
+    resources = events.select("resource_accessed").distinct().agg(F.count("resource_accessed").alias("distinct_resources"))
+    campaigns = events.select("campaign_id").distinct().agg(F.count("campaign_id").alias("campaigns_present"))
     repeats = events.groupBy("entity_id", "timestamp").agg((n - 1).alias("again"))
     repeats = repeats.agg(F.coalesce(F.sum("again"), F.lit(0)).alias("duplicate_entity_timestamps"))
-    return flags.crossJoin(distinct).crossJoin(repeats)  # one row each
+    out = flags
+    for one_row in (per_type, resources, campaigns, repeats):
+        out = out.crossJoin(one_row)  # one row each
+    return out
 
 
 def label_counts(events: DataFrame) -> DataFrame:

@@ -576,7 +576,7 @@ def _(p):
 
 # -- risk --------------------------------------------------------------------------------------
 def _frame(p: Pipeline) -> DataFrame:
-    return risk.scoring_frame(p.features, p.given_scores, p.config)
+    return p.given_frame
 
 
 def _one_row(p: Pipeline, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
@@ -743,7 +743,7 @@ def _(p):
 def _gated(p: Pipeline) -> DataFrame:
     def build():
         late = drift.replayed(p.events, p.cutoff)
-        return stages.save(drift.gate(late, p.given_risk, p.config))
+        return drift.gate(late, p.given_risk, p.config)
 
     return stages.once(p.spark, ("gated", p.folder), build)
 

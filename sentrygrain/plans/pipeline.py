@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, FEATURES, SENSITIVITY, Config
+from ..config import DEFAULTS, FEATURES, LABEL_COLUMNS, SENSITIVITY, Config
 from ..contracts import guard_leakage
 from ..operators import alerts as alerting
 from ..operators import classifier, detectors, features, forest, prepare, profiles, risk
@@ -54,15 +54,21 @@ class Pipeline:
         return profiles.fit_profiles(self.events, self.cutoff, self.config)
 
     @cached_property
-    def features(self) -> DataFrame:
+    def labelled(self) -> DataFrame:
+        """Features, with the ground truth carried along as payload.
+
+        No feature reads it; carrying it saves a join of two event-sized tables.
+        """
         guard_leakage(FEATURES)
-        observed = self.events.drop("label", "is_attack", "campaign_id")
-        return stages.save(features.build_features(observed, self.profiles, sensitivity_by_name(), self.config))
+        return stages.save(
+            features.build_features(
+                self.events, self.profiles, sensitivity_by_name(), self.config, keep=LABEL_COLUMNS
+            )
+        )
 
     @cached_property
-    def labelled(self) -> DataFrame:
-        """Features joined with the ground truth, one to one on event_id."""
-        return labelled_features(self.features, self.events)
+    def features(self) -> DataFrame:
+        return self.labelled.drop(*LABEL_COLUMNS)
 
     # -- detectors with a closed form -------------------------------------------------
     @cached_property
@@ -70,16 +76,33 @@ class Pipeline:
         return detectors.fit_rule_baseline(detectors.training_rows(self.labelled))
 
     @cached_property
-    def given_scores(self) -> DataFrame:
-        """Score table with the squashed rule score standing in for the forest.
+    def given_rows(self) -> DataFrame:
+        """Features and scores side by side, the squashed rule score standing in
+        for the forest.
 
         It depends on the features only, so every later step has exact answers.
         """
-        rule = detectors.rule_score(self.rule)
-        rows = self.labelled.withColumn("baseline_rule", rule)
+        rows = self.labelled.withColumn("baseline_rule", detectors.rule_score(self.rule))
         rows = rows.withColumn("anomaly_score_raw", 1.0 / (1.0 + F.exp(-F.col("baseline_rule") / 6.0)))
-        rows = rows.withColumn("anomaly_score", F.col("anomaly_score_raw"))
-        return stages.save(detectors.score_table(rows, self.config))
+        return stages.save(rows.withColumn("anomaly_score", F.col("anomaly_score_raw")))
+
+    @cached_property
+    def given_scores(self) -> DataFrame:
+        return detectors.score_table(self.given_rows, self.config)
+
+    @cached_property
+    def given_frame(self) -> DataFrame:
+        return self._frame(self.given_rows)
+
+    def _frame(self, rows: DataFrame) -> DataFrame:
+        """The risk engine's whitelist of a table that has features and scores."""
+        wanted = (*risk.input_columns(self.config.risk), "chunk")
+        guard_leakage(wanted, "risk")
+        return rows.select(*wanted)
+
+    def _fit_engine(self, rows: DataFrame, thresholds: dict[str, float]) -> risk.Calibration:
+        train = self._frame(detectors.training_rows(rows))
+        return risk.fit_calibration(train, thresholds, self.config.risk)
 
     @cached_property
     def given_thresholds(self) -> dict[str, float]:
@@ -92,13 +115,11 @@ class Pipeline:
 
     @cached_property
     def given_calibration(self) -> risk.Calibration:
-        frame = risk.scoring_frame(self.features, self.given_scores, self.config)
-        return risk.fit_engine(frame, self.given_scores, self.given_thresholds, self.config)
+        return self._fit_engine(self.given_rows, self.given_thresholds)
 
     @cached_property
     def given_risk(self) -> DataFrame:
-        frame = risk.scoring_frame(self.features, self.given_scores, self.config)
-        return stages.save(risk.score_events(frame, self.given_calibration, self.config))
+        return stages.save(risk.score_events(self.given_frame, self.given_calibration, self.config))
 
     @cached_property
     def given_alerts(self) -> tuple[DataFrame, DataFrame]:
@@ -121,22 +142,23 @@ class Pipeline:
         return forest.scorer(self.forest_nodes, n_fit, self.config)
 
     @cached_property
-    def scores(self) -> DataFrame:
-        """Event score table of the isolation forest, rule and random baseline."""
+    def forest_rows(self) -> DataFrame:
+        """Features with the isolation forest's and the rule's scores."""
         rows = self.labelled.withColumns(
             {
                 "anomaly_score_raw": forest.raw_score_column(self.labelled, self.forest),
                 "baseline_rule": detectors.rule_score(self.rule),
             }
         )
-        raw = stages.save(rows.select(*[c for c in rows.columns if c not in FEATURES]))
-        low, high = self._fit_range(raw)
-        display = detectors.display_score(F.col("anomaly_score_raw"), low, high)
-        return detectors.score_table(raw.withColumn("anomaly_score", display), self.config)
+        return stages.save(rows)
 
-    def _fit_range(self, raw: DataFrame) -> tuple[float, float]:
-        fit = detectors.training_rows(raw).where(self.fit_part)
-        return tuple(fit.agg(F.min("anomaly_score_raw"), F.max("anomaly_score_raw")).first())
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Event score table of the isolation forest, rule and random baseline."""
+        fit = detectors.training_rows(self.forest_rows).where(self.fit_part)
+        low, high = fit.agg(F.min("anomaly_score_raw"), F.max("anomaly_score_raw")).first()
+        display = detectors.display_score(F.col("anomaly_score_raw"), low, high)
+        return detectors.score_table(self.forest_rows.withColumn("anomaly_score", display), self.config)
 
     @cached_property
     def thresholds(self) -> dict[str, float]:
@@ -145,13 +167,11 @@ class Pipeline:
 
     @cached_property
     def calibration(self) -> risk.Calibration:
-        frame = risk.scoring_frame(self.features, self.scores, self.config)
-        return risk.fit_engine(frame, self.scores, self.thresholds, self.config)
+        return self._fit_engine(self.forest_rows, self.thresholds)
 
     @cached_property
     def risk(self) -> DataFrame:
-        frame = risk.scoring_frame(self.features, self.scores, self.config)
-        return stages.save(risk.score_events(frame, self.calibration, self.config))
+        return stages.save(risk.score_events(self._frame(self.forest_rows), self.calibration, self.config))
 
     @cached_property
     def classifier(self):
