@@ -339,7 +339,7 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"2 * 6371.0088::DOUBLE * asin(sqrt(greatest(0.0, least(1.0, {inner}))))"
 
 
-def _features(resolved: str) -> str:
+def _features(resolved: str, h: str = "h", trail: str = "trail") -> str:
     joins = "".join(
         f" LEFT JOIN counts k_{k} ON k_{k}.src = z.src AND k_{k}.key = z.key AND k_{k}.kind = '{k}' AND k_{k}.value = h.v_{k}"
         f" LEFT JOIN sizes s_{k} ON s_{k}.src = z.src AND s_{k}.key = z.key AND s_{k}.kind = '{k}'"
@@ -369,7 +369,7 @@ FROM (SELECT h.event_id, h.timestamp, h.us, h.entity_id, h.entity_type, h.role,
   (h.session_duration_s - coalesce(m.duration_mean, h.session_duration_s)) / greatest(coalesce(m.duration_std, 1.0), 1.0) AS session_duration_zscore,
   (h.bytes_transferred - coalesce(m.bytes_mean, h.bytes_transferred)) / greatest(coalesce(m.bytes_std, 1.0), 1.0) AS transfer_volume_zscore,
   (coalesce(k_transition.n, 0) + 1.0::DOUBLE) / (coalesce(m.n_events, 0) + coalesce(s_transition.n_keys, 0) + 1.0::DOUBLE) AS transition_probability
-FROM h JOIN {resolved} z USING (event_id) JOIN trail t USING (event_id) LEFT JOIN moments m ON m.src = z.src AND m.key = z.key{joins})"""
+FROM {h} AS h JOIN {resolved} z USING (event_id) JOIN {trail} t USING (event_id) LEFT JOIN moments m ON m.src = z.src AND m.key = z.key{joins})"""
 
 
 cte("features", "h resolved trail moments counts sizes", _features("resolved"))
@@ -1329,3 +1329,79 @@ check(
 SELECT *, least(59, floor((anomaly_score_raw - lo) / w) + 1)::BIGINT AS bin FROM ev, (SELECT min(anomaly_score_raw) AS lo, (max(anomaly_score_raw) - min(anomaly_score_raw)) / 59 AS w FROM ev))
 GROUP BY is_attack, bin, lo, w""",
 )
+
+# -- the rest of the reports ---------------------------------------------------------------------------------------------------
+_REASON = "code || ' (+' || format('{:.1f}', round_even(round_even(v, 3), 1)) || ')'"
+check(
+    "a04_normalise_alerts",
+    "alert_crit reasons",
+    f"""SELECT alert_id, {TS_COLUMN}, entity_id, entity_type, event_id, {r("anomaly_score=a_forest", f"sequence_score={_SEQ}", "risk_score", digits=4)},
+NULL::VARCHAR AS attack_type, 0.0::DOUBLE AS attack_confidence, sev AS severity, short_reason, reasons, reason_codes
+FROM alert_crit JOIN (SELECT event_id, string_agg({_REASON}, ' + ' ORDER BY place) AS reasons FROM reasons GROUP BY 1) USING (event_id)""",
+)
+cte("ranked_rule", "ev", CTES["ranked"][1].replace("anomaly_score_raw DESC", "baseline_rule DESC"))
+cte("curve_rule", "ev", CTES["curve"][1].replace("anomaly_score_raw AS s", "baseline_rule AS s"))
+
+
+def _long(detector: str, section: str, inner: str, columns: tuple[str, ...]) -> str:
+    """The columns of a one-row select as (detector, metric, value) rows."""
+    casts = ", ".join(f"({c})::DOUBLE AS {c}" for c in columns)
+    return f"""SELECT '{detector}' AS detector, '{section}.' || name AS metric, {r("value")} 
+FROM (SELECT {casts} FROM ({inner})) UNPIVOT INCLUDE NULLS (value FOR name IN ({", ".join(columns)}))"""
+
+
+_DETECTION = tuple("n_events n_positives prevalence threshold n_alerts alert_rate tp fp tn fn precision recall fpr f1 pr_auc roc_auc".split())
+
+
+def _report(score: str, ranked: str, curve: str) -> list[str]:
+    swap = lambda text: (
+        text.replace("anomaly_score_raw", score).replace("FROM ranked", f"FROM {ranked}").replace("FROM curve", f"FROM {curve}")
+    )
+    parts = [_long(score, "budget", swap(_AT_BUDGET), _DETECTION)]
+    if score == "anomaly_score_raw":
+        for point in OPERATING_POINTS:
+            text = detection(f"anomaly_score_raw >= {point}", f"max({point})", "threshold")
+            parts.append(_long(score, f"point_{point}", text, _DETECTION))
+    for f in BUDGET_FRACTIONS:
+        parts.append(_long(score, f"sweep.{f}", swap(_sweep(f)), ("n_alerts", "threshold", "precision", "recall", "fpr", "f1")))
+    for f in FPR_TARGETS:
+        inner = f"""SELECT t AS threshold, avg(({score} >= t)::INT) FILTER (is_attack) AS recall, avg(({score} >= t)::INT) FILTER (NOT is_attack) AS achieved_fpr
+FROM ev, (SELECT quantile_cont({score}, {1.0 - f}) AS t FROM ev WHERE NOT is_attack) GROUP BY t"""
+        parts.append(_long(score, f"recall_at_fpr.{f}", inner, ("threshold", "recall", "achieved_fpr")))
+    for side, where in (("benign", "NOT is_attack"), ("attack", "is_attack")):
+        quantiles = ", ".join(f"quantile_cont(s, {v}) AS {k}" for k, v in _Q.items())
+        inner = f"SELECT count(*) AS n, avg(s) AS mean, stddev_pop(s) AS std, min(s) AS min, {quantiles} FROM (SELECT {score} AS s FROM ev WHERE {where})"
+        parts.append(_long(score, f"distribution.{side}", inner, ("n", "mean", "std", "min", *_Q)))
+    return parts
+
+
+check(
+    "v14_event_level_report",
+    "ranked ranked_rule curve curve_rule thr ev",
+    " UNION ALL ".join(_report("baseline_rule", "ranked_rule", "curve_rule") + _report("anomaly_score_raw", "ranked", "curve")),
+)
+
+# What-if: the injected events after their entities' history, scored alone.
+cte(
+    "hist",
+    "ae inj",
+    """SELECT * FROM ae WHERE entity_id IN (SELECT entity_id FROM inj) AND us < (SELECT min(us) FROM inj)
+UNION ALL SELECT inj.* FROM inj""",
+)
+cte("h_inj", "hist cut", CTES["h"][1].replace("SELECT ae.*", "SELECT hist.*").replace("FROM ae, cut", "FROM hist, cut"))
+cte("trail_inj", "h_inj", CTES["trail"][1].replace("FROM h a LEFT JOIN h b", "FROM h_inj a LEFT JOIN h_inj b"))
+cte("features_inj", "h_inj resolved trail_inj moments counts sizes", _features("resolved", "h_inj", "trail_inj"))
+cte("scored_inj", "features_inj rule inj", CTES["scored"][1].replace("FROM features, rule", "FROM features, rule WHERE event_id IN (SELECT event_id FROM inj)").replace("features.*", "features_inj.*").replace("FROM features,", "FROM features_inj,"))
+cte("act_inj", "scored_inj cal", CTES["act"][1].replace("scored.*", "scored_inj.*").replace("FROM scored,", "FROM scored_inj,"))
+cte("inst_inj", "act_inj", CTES["inst"][1].replace("FROM act", "FROM act_inj"))
+cte("seq_inj", "inst_inj", CTES["seq"][1].replace("FROM inst", "FROM inst_inj"))
+cte("walk_inj", "seq_inj", CTES["walk"][1].replace("FROM seq WHERE", "FROM seq_inj WHERE").replace("FROM walk w JOIN seq s", "FROM walk_inj w JOIN seq_inj s"))
+cte("risk_inj", "inst_inj walk_inj", CTES["risk"][1].replace("inst.", "inst_inj.").replace("inst_inj.inst +", "inst_inj.inst +").replace("walk.", "walk_inj.").replace("FROM inst JOIN walk", "FROM inst_inj JOIN walk_inj"))
+cte("page_inj", "risk_inj", CTES["page_crit"][1].replace("FROM risk ", "FROM risk_inj "))
+cte("fold_inj", "page_inj", CTES["fold_crit"][1].replace("page_crit", "page_inj").replace("fold_crit", "fold_inj"))
+check(
+    "s11_what_if",
+    "risk_inj fold_inj",
+    f"""SELECT event_id, {r("instantaneous_evidence=inst", "risk_score", digits=4)}, sev AS risk_severity,
+(event_id IN (SELECT event_id FROM fold_inj WHERE opened))::BIGINT AS alerted FROM risk_inj""",
+)

@@ -173,15 +173,19 @@ def what_if(
 ) -> DataFrame:
     """Score only the injected events, after their entities' stored history.
 
-    A batch run of the same stateful operator: the history warms the state up
-    and is not scored.
+    The history warms the state up and is not scored. Both parts are one stored
+    table that the live operator reads to its end.
     """
     columns = OBSERVATION_SCHEMA.fieldNames()
     past = history_of(events, injected).select(*columns, F.lit(True).alias("warm"))
     fresh = injected.select(*columns, F.lit(False).alias("warm"))
-    with rocksdb_state(events.sparkSession):
-        results = score_stream(prepare(past.unionByName(fresh), profiles, sensitivity), model)
-        return explain_live(stages.save(results), model)
+    rows = past.unionByName(fresh)
+    path = f"{stages.stage_root(events.sparkSession)}/what-if-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    results = replay_table(
+        events.sparkSession, path, profiles, model, sensitivity=sensitivity, schema=rows.schema
+    )
+    return explain_live(results, model)
 
 
 def last_alert(explained: DataFrame) -> DataFrame:
