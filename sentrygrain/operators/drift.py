@@ -15,7 +15,7 @@ from ..config import BENIGN, DEFAULTS, INSIDER, MALICIOUS, Config
 from ..contracts import ContractError
 from ..functions.scoring import micros
 from ..sources import stages
-from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location, map_rows, transition
+from .profiles import KINDS, Profiles, as_struct, cohort_key, map_rows, transition, value_columns
 from .risk import decaying_state
 from .timeline import assign_chunks, carried_previous
 
@@ -117,14 +117,7 @@ def decayed_counts(
 ) -> DataFrame:
     """Long adaptive counts (entity_id, kind, value, ewma_count)."""
     span = spans(steps)
-    values = {
-        "hour": F.hour("timestamp").cast("string"),
-        "location": location(),
-        "device": fingerprint(),
-        "resource": F.col("resource_accessed"),
-        "auth": F.col("auth_method"),
-        "transition": F.col("transition"),
-    }
+    values = value_columns(F.col("transition"))
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
     observed = steps.select("entity_id", "_at", F.inline(pairs))
     fresh = decayed_sums(observed, ["kind", "value"], {"c": F.lit(1.0)}, span, config)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, FEATURES, Config
 from ..functions.geo import haversine_km, velocity_kmh
 from ..functions.scoring import micros, rarity, zscore
-from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location, resolve, transition
+from .profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, resolve, transition, value_columns
 from .timeline import assign_chunks
 
 HOUR_US = 3_600_000_000
@@ -157,14 +157,7 @@ def profile_features(
     profile, prev = F.col("profile"), F.col("_prev")
     n_events = F.coalesce(profile["n_events"], F.lit(0))
     total = F.coalesce(profile["total_transitions"], F.lit(0))
-    values = {
-        "hour": F.hour("timestamp").cast("string"),
-        "location": location(),
-        "device": fingerprint(),
-        "resource": F.col("resource_accessed"),
-        "auth": F.col("auth_method"),
-        "transition": transition(prev["resource"]),
-    }
+    values = value_columns(transition(prev["resource"]))
     found = {k: _lookup(k, v, profile, F.col(f"_wide_{k}") if wide else None) for k, v in values.items()}
     rows = rows.withColumns({f"_n_{k}": F.coalesce(found[k], F.lit(0)) for k in KINDS})
     # A key may be known with a rounded count of 0, so presence is its own fact.
@@ -229,14 +222,7 @@ def _join_wide(rows: DataFrame, profiles: Profiles) -> DataFrame:
     """Counts of kinds too wide for a map, one equi-join on (key, value) each."""
     tables = [t for t in (profiles.wide_entity, profiles.wide_cohort) if t is not None]
     counts = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
-    values = {
-        "hour": F.hour("timestamp").cast("string"),
-        "location": location(),
-        "device": fingerprint(),
-        "resource": F.col("resource_accessed"),
-        "auth": F.col("auth_method"),
-        "transition": transition(F.col("_prev")["resource"]),
-    }
+    values = value_columns(transition(F.col("_prev")["resource"]))
     kinds = {r.kind for r in counts.select("kind").distinct().collect()}  # at most six kinds
     for kind, value in values.items():
         if kind not in kinds:

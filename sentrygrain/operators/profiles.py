@@ -28,6 +28,18 @@ def transition(previous: Column, current: Column | str = "resource_accessed") ->
     return F.concat(F.coalesce(previous, F.lit(START)), F.lit("->"), F.col(current) if isinstance(current, str) else current)
 
 
+def value_columns(step: Column) -> dict[str, Column]:
+    """An event's value of every counted kind; ``step`` is its transition."""
+    return {
+        "hour": F.hour("timestamp").cast("string"),
+        "location": location(),
+        "device": fingerprint(),
+        "resource": F.col("resource_accessed"),
+        "auth": F.col("auth_method"),
+        "transition": step,
+    }
+
+
 def fit_rows(events: DataFrame, cutoff: int) -> DataFrame:
     return events.where((micros(F.col("timestamp")) <= cutoff) & (F.col("label") == BENIGN))
 
@@ -54,14 +66,7 @@ def with_transitions(rows: DataFrame, key: Column, config: Config = DEFAULTS) ->
 
 def count_values(rows: DataFrame) -> DataFrame:
     """Long counts (key, kind, value, n): one map-side combined aggregate."""
-    values = {
-        "hour": F.hour("timestamp").cast("string"),
-        "location": location(),
-        "device": fingerprint(),
-        "resource": F.col("resource_accessed"),
-        "auth": F.col("auth_method"),
-        "transition": F.col("transition"),
-    }
+    values = value_columns(F.col("transition"))
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), values[kind].alias("value")) for kind in KINDS])
     return rows.select("key", F.inline(pairs)).groupBy("key", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -121,10 +126,9 @@ class Profiles:
 
 def fit_key(rows: DataFrame, key: Column, config: Config = DEFAULTS) -> tuple[DataFrame, DataFrame | None]:
     """Profiles of all keys, written as a table, and the wide kinds if any."""
-    keyed = with_transitions(rows, key, config)
-    counts = stages.save(count_values(keyed))
+    counts = stages.save(count_values(with_transitions(rows, key, config)))
     maps, wide = count_maps(counts, config)
-    profile = stages.save(moments(keyed).join(maps, "key"))
+    profile = stages.save(moments(rows.withColumn("key", key)).join(maps, "key"))
     wide = stages.save(wide)
     return profile, None if wide.isEmpty() else wide
 

@@ -268,6 +268,10 @@ def _entity_fit(p: Pipeline) -> DataFrame:
     return profiles.with_transitions(rows, profiles.entity_key())
 
 
+def _keyed_fit(p: Pipeline) -> DataFrame:
+    return profiles.fit_rows(p.events, p.cutoff).withColumn("key", profiles.entity_key())
+
+
 def _counts(p: Pipeline, *kinds: str) -> DataFrame:
     return profiles.count_values(_entity_fit(p)).where(F.col("kind").isin(*kinds))
 
@@ -280,13 +284,13 @@ def _(p):
 @query("c02_moments")
 def _(p):
     fields = ("duration_mean", "duration_std", "bytes_mean", "bytes_std")
-    return profiles.moments(_entity_fit(p)).select("key", "n_events", *fields)
+    return profiles.moments(_keyed_fit(p)).select("key", "n_events", *fields)
 
 
 @query("c03_failure_and_baseline", 9)
 def _(p):
     fields = ("auth_failure_rate", "baseline_latitude", "baseline_longitude")
-    return profiles.moments(_entity_fit(p)).select("key", *fields)
+    return profiles.moments(_keyed_fit(p)).select("key", *fields)
 
 
 @query("c04_transitions")

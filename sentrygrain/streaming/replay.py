@@ -8,7 +8,6 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, FEATURES, Config
 from ..contracts import OBSERVATION_SCHEMA
 from ..functions.scoring import micros
 from ..operators import risk as risk_plan
