@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import BENIGN, DEFAULTS, FEATURES, RULE_FEATURES, SEVERITY_LOWER
+from ..config import BENIGN, DEFAULTS, FEATURES, LABELS, RULE_FEATURES, SEVERITY_LOWER
 from ..contracts import (
     OBSERVATION_SCHEMA,
     event_violations,
@@ -1257,7 +1257,7 @@ def _(p):
     return rows.select("alert_id", "place", F.substring_index("reason", " ", 1).alias("code"))
 
 
-@query("q13_score_contributions", 2)
+@query("q13_score_contributions", 3)
 def _(p):
     mixed = _named_alerts(p).withColumn(
         "top_contributors", F.when(F.col("severity") == "CRITICAL", F.col("top_contributors")).otherwise(F.array())
@@ -1336,6 +1336,39 @@ def _(p):
     return documents.read_metrics(p.spark, _metrics_path(p), "budget_sweep", _RECORD)
 
 
+@query("q24_pr_curve")
+def _(p):
+    return documents.read_metrics(p.spark, _metrics_path(p), "pr_curve", "recall double, precision double, threshold double")
+
+
+@query("q24_roc_curve")
+def _(p):
+    """The leading point's infinite threshold is null in strict JSON."""
+    return documents.read_metrics(p.spark, _metrics_path(p), "roc_curve", "fpr double, tpr double, threshold double")
+
+
+@query("q24_confusion_matrix")
+def _(p):
+    schema = "truth string, " + ", ".join(f"{name} bigint" for name in LABELS)
+    return documents.read_metrics(p.spark, _metrics_path(p), "confusion_matrix", schema)
+
+
+@query("q24_per_class")
+def _(p):
+    schema = "class string, precision double, recall double, f1 double, support bigint"
+    rows = documents.read_metrics(p.spark, _metrics_path(p), "per_class", schema)
+    return rows.withColumn("class", analyst.named("class", analyst.ATTACK_NAMES))
+
+
+@query("q24_campaign_performance")
+def _(p):
+    schema = (
+        "n_campaigns bigint, n_detected bigint, campaign_recall double, median_latency_seconds double, "
+        "median_events_before_detection double"
+    )
+    return documents.read_metrics(p.spark, _metrics_path(p), "campaign_detection", schema)
+
+
 @query("q25_streaming_preview", 4)
 def _(p):
     return analyst.streaming_preview(_flat(p, False), 25)

@@ -1247,7 +1247,7 @@ _TITLED = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REASON_NA
 check(
     "q13_score_contributions",
     "al reasons",
-    f"""SELECT alert_id, factor, {r("contribution", digits=2)} FROM (
+    f"""SELECT alert_id, factor, {r("contribution", digits=3)} FROM (
 SELECT alert_id, {_TITLED} AS factor, round_even(v, 3) AS contribution FROM al JOIN reasons USING (event_id) WHERE severity = 'CRITICAL' UNION ALL """
     + " UNION ALL ".join(
         f"SELECT alert_id, '{COMPONENT_NAMES[k]}' AS factor, {e} AS contribution FROM al WHERE severity <> 'CRITICAL' AND risk_score < 72 AND {e} > 0"
@@ -1405,3 +1405,14 @@ check(
     f"""SELECT event_id, {r("instantaneous_evidence=inst", "risk_score", digits=4)}, sev AS risk_severity,
 (event_id IN (SELECT event_id FROM fold_inj WHERE opened))::BIGINT AS alerted FROM risk_inj""",
 )
+
+# Sections of the metrics document read back.
+ORACLE["q24_pr_curve"] = ORACLE["v06_pr_curve"]
+ORACLE["q24_confusion_matrix"] = ORACLE["v10_confusion_matrix"]
+ORACLE["q24_campaign_performance"] = ORACLE["v11_campaign_summary"]
+check("q24_roc_curve", "curve", f"SELECT fpr, tpr, CASE WHEN isfinite(threshold) THEN threshold END AS threshold FROM ({_ROC_POINTS})")
+check(
+    "q24_per_class",
+    "pred",
+    f"SELECT {case('class', ATTACK_NAMES)} AS class, support, {r('precision', 'recall', 'f1')} FROM ({_PER_CLASS})",
+)
