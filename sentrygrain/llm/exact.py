@@ -32,15 +32,15 @@ def _best() -> Column:
 
 def exact(docs: DataFrame) -> DataFrame:
     plain = normalised(F.col("text"))
-    rows = docs.select(
-        "doc_id",
-        plain.alias("plain"),
-        F.unhex(F.md5(plain)).alias("hash"),
-        F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"),
-    )
-    keys = save(rows.select("doc_id", "hash", "chars", F.sha2("plain", 256).alias("text_sha256")))
+    chars = F.coalesce(F.char_length("text"), F.lit(0)).alias("chars")
+    named = F.unhex(F.md5("plain")).alias("hash")
+    rows = docs.select("doc_id", F.explode(F.array(plain)).alias("plain"), chars)  # a generator's output is computed once
+    keys = save(rows.select("doc_id", named, F.sha2("plain", 256).alias("text_sha256")))
     several = keys.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    shared = save(rows.join(several, "hash", "left_semi"))
+    ids = keys.join(several, "hash", "left_semi").select("doc_id")
+    texts = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
+    texts = texts.select("doc_id", plain.alias("plain"), chars)
+    shared = save(texts.select("*", named).join(several, "hash", "left_semi"))
     groups = shared.groupBy("hash", "plain").agg(F.count("*").alias("group_size"), _best().alias("best"))
     placed = shared.join(groups, ["hash", "plain"])
     grouped = placed.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.sha2("plain", 256).alias("text_sha256"))

@@ -69,7 +69,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tupl
         pairs = open_.join(reps, "bucket").filter("component <> other")
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         fresh = save(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = save(verify(fresh))
+        more = save(verify(fresh)) if not fresh.isEmpty() else fresh
         if more.isEmpty():
             return links, found
         links, tried = save(links.union(more)), save(tried.union(fresh))
