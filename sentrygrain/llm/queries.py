@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, minhash, packing, quality, secrets
+from . import automata, exact, lines, minhash, packing, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,13 @@ def _(spark, folder):
 @query("op10_line_dedup")
 def _(spark, folder):
     return lines.report(documents(spark, folder))
+
+
+@query("op1_suffix_array_dedup")
+def _(spark, folder):
+    return suffixes.dedup(documents(spark, folder))
+
+
+@query("op9_substring_dedup")
+def _(spark, folder):
+    return automata.dedup(documents(spark, folder))
