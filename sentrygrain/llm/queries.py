@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact, lines, minhash, packing, quality, secrets, suffixes
+from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,13 @@ def _(spark, folder):
 @query("op9_substring_dedup")
 def _(spark, folder):
     return automata.dedup(documents(spark, folder))
+
+
+@query("op8_language_id")
+def _(spark, folder):
+    return language.identify(documents(spark, folder))
+
+
+@query("op3_sentencepiece_sampling")
+def _(spark, folder):
+    return pieces.sampled(documents(spark, folder))
