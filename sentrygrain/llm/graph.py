@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    own = edges.select(F.col("b").alias("a"), "b")
+    return edges.union(own).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
 def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
