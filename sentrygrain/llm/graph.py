@@ -1,15 +1,16 @@
 """Links between items that share buckets, and their connected components.
 
 Candidates are star shaped: within a bucket, members are compared with a hub,
-never all with all, so pairs grow with the members. Afterwards only members of
-different components meet again, through one hub for each (bucket, component),
-until no link is found. Everything is aggregation and joins that Spark can
+never all with all, so pairs grow with the members. Afterwards buckets that still
+hold several components draw another hub, with which members of other components
+are compared, until a turn finds no link. Everything is aggregation and joins that Spark can
 split; nothing of a bucket or component is gathered in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +58,15 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tupl
     members = save(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     tried = save(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     links = save(verify(tried))
-    while True:
+    for turn in count():
         found = save(components(links))
         placed = members.select("bucket", "id").join(found, "id", "left")
         placed = save(placed.select("bucket", "id", F.coalesce("component", "id").alias("component")))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         open_ = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-        first = F.min(F.struct(F.xxhash64("bucket", "id").alias("order"), F.col("id").alias("hub"))).alias("first")
-        reps = open_.groupBy("bucket", "component").agg(first).select(
-            "bucket", F.col("component").alias("other"), F.col("first.hub").alias("hub")
-        )
-        pairs = open_.join(reps, "bucket").filter("component <> other")
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("order"), F.col("id").alias("hub"), F.col("component").alias("of")))
+        hubs = open_.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.hub", "first.of")
+        pairs = open_.join(hubs, "bucket").filter("component <> of")
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         fresh = save(pairs.join(tried, ["a", "b"], "left_anti"))
         more = save(verify(fresh)) if not fresh.isEmpty() else fresh
