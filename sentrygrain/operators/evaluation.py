@@ -342,12 +342,14 @@ def matched_thresholds(benign_train: DataFrame, scores: tuple[str, ...], fpr: fl
 
 
 def hard_categories(df: DataFrame, masks: dict[str, Column], labels: tuple[str, ...] = HARD_CATEGORIES) -> DataFrame:
-    """Catch rate per difficult label and method."""
-    return (
+    """Catch rate per difficult label and method; a label without events has 0 of them and no rate."""
+    counts = (
         df.where(F.col("label").isin(*labels))
         .groupBy("label")
         .agg(F.count("*").alias("n_events"), *[F.avg(m.cast("double")).alias(f"{name}_recall") for name, m in masks.items()])
     )
+    every = df.sparkSession.createDataFrame([(label,) for label in labels], "label string")
+    return every.join(counts, "label", "left").fillna(0, ["n_events"])
 
 
 def alert_burden(alerts: DataFrame, eval_rows: DataFrame, n_suppressed: DataFrame) -> DataFrame:

@@ -122,7 +122,10 @@ class ForestScorer:
 def scorer(nodes: DataFrame, n_fit: int, config: Config = DEFAULTS) -> ForestScorer:
     """Driver-side copy of the node table, at most trees * 2 * sample rows."""
     bound = config.forest_trees * 2 * config.forest_sample
-    return ForestScorer(nodes.limit(bound).toPandas(), min(config.forest_sample, n_fit))
+    n = nodes.count()
+    if n > bound:
+        raise ValueError(f"{n} nodes, more than {config.forest_trees} trees of {config.forest_sample} rows can have")
+    return ForestScorer(nodes.toPandas(), min(config.forest_sample, n_fit))
 
 
 def raw_score_column(df: DataFrame, model: ForestScorer) -> Column:

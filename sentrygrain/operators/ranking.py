@@ -7,89 +7,103 @@ partition the rows and add per-partition offsets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import stages
 
 BINS = 1024
 FEW = 4096
-SMALL = 1_000_000
 
 
 def kth_values(df: DataFrame, value: Column, ranks: list[int]) -> dict[int, float]:
-    """The 1-based ``ranks``-th smallest values of a numeric column (no nulls).
+    """The 1-based ``ranks``-th smallest values of a numeric column; nulls are left out."""
+    return _select(df.select(F.lit("v").alias("c"), value.alias("v")), {"v": ranks})["v"]
 
-    Each round is one aggregate with at most ``BINS`` groups per open range and
-    keeps only the bins that hold a wanted rank.
-    """
-    slim = df.select(value.alias("v")).where("v is not null")
-    found: dict[int, float] = {}
-    low, high = slim.agg(F.min("v"), F.max("v")).first()
-    # open ranges: (low, high) -> wanted (rank, rank inside the range)
-    open_ranges = {(low, high): [(r, r) for r in sorted(set(ranks))]}
-    while open_ranges:
-        rounds = {}
-        for (low, high), wanted in open_ranges.items():
-            if low == high:
-                found.update({rank: low for rank, _ in wanted})
-                continue
-            inside = slim.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-            share = (F.col("v") - F.lit(low)).cast("double") / F.lit(float(high - low))
-            binned = inside.groupBy(F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")).agg(
-                F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-            )
-            bins = sorted(binned.collect(), key=lambda b: b.bin)  # at most BINS rows
-            seen = 0
-            for b in bins:
-                here = [(rank, r - seen) for rank, r in wanted if seen < r <= seen + b.n]
-                if here and b.n <= FEW and b.low < b.high:
-                    found.update(_few(inside, b, here))
-                elif here:
-                    rounds[(b.low, b.high)] = here
-                seen += b.n
-        open_ranges = rounds
-    return found
 
+def _select(melted: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """Wanted ranks of several columns, given as rows (c, v), at once.
 
-def _few(inside: DataFrame, b, wanted) -> dict[int, float]:
-    rows = (
-        inside.where((F.col("v") >= F.lit(b.low)) & (F.col("v") <= F.lit(b.high))).groupBy("v").count().collect()
-    )  # at most FEW rows
-    out, seen = {}, 0
-    for row in sorted(rows, key=lambda r: r.v):
-        out.update({rank: row.v for rank, r in wanted if seen < r <= seen + row["count"]})
-        seen += row["count"]
-    return out
-
+    Infinite values and NaN, which is the largest, are counted apart. Each round
+    is one aggregate over (column, open range, bin), and only bins that hold a
+    wanted rank stay open; a range of different finite values always splits.
+    """
+    real = isinstance(melted.schema["v"].dataType, (T.DoubleType, T.FloatType))
+    v = F.col("v")
+    odd = (F.isnan(v) | (F.abs(v) == F.lit(math.inf))) if real else F.lit(False)
+    rows = melted.where(v.isNotNull())
+    below = F.count_if(v == F.lit(-math.inf)) if real else F.lit(0)
+    above = F.count_if((v == F.lit(math.inf)) & ~F.isnan(v)) if real else F.lit(0)
+    inside = F.when(~odd, v)
+    spans = rows.groupBy("c").agg(
+        below.alias("below"), above.alias("above"), F.count(inside).alias("n"), F.min(inside).alias("low"), F.max(inside).alias("high")
+    )
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    open_: list[tuple] = []  # (column, low, high, [(rank, rank inside)])
+    few: list[tuple] = []
+    for s in spans.collect():  # one row a column
+        wanted = []
+        for rank in sorted(set(ranks[s.c])):
+            if rank <= s.below:
+                found[s.c][rank] = -math.inf
+            elif rank <= s.below + s.n:
+                wanted.append((rank, rank - s.below))
+            else:
+                found[s.c][rank] = math.inf if rank <= s.below + s.n + s.above else math.nan
+        if wanted:
+            open_.append((s.c, s.low, s.high, wanted))
+    finite = rows.where(~odd)
+
+    def ranged(ranges: list[tuple]) -> DataFrame:
+        which = F.lit(None).cast("int")
+        for i, (c, low, high, _) in enumerate(ranges):
+            which = F.when((F.col("c") == c) & (v >= F.lit(low)) & (v <= F.lit(high)), F.lit(i)).otherwise(which)
+        return finite.withColumn("r", which).where("r is not null")
+
+    while open_:
+        for c, low, _, wanted in [o for o in open_ if o[1] == o[2]]:
+            found[c].update({rank: low for rank, _ in wanted})
+        open_ = [o for o in open_ if o[1] != o[2]]
+        if not open_:
+            break
+        share = F.lit(None).cast("double")
+        for i, (_, low, high, _) in enumerate(open_):
+            part = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) if real else (v - F.lit(low)).cast("double") / F.lit(float(high - low))
+            share = F.when(F.col("r") == i, part).otherwise(share)
+        place = F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")
+        binned = ranged(open_).groupBy("r", place).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        seen, rounds = dict.fromkeys(range(len(open_)), 0), []
+        for b in sorted(binned.collect(), key=lambda b: (b.r, b.bin)):  # at most BINS rows a range
+            c, _, _, wanted = open_[b.r]
+            here = [(rank, r - seen[b.r]) for rank, r in wanted if seen[b.r] < r <= seen[b.r] + b.n]
+            if here:
+                (few if b.n <= FEW and b.low < b.high else rounds).append((c, b.low, b.high, here))
+            seen[b.r] += b.n
+        open_ = rounds
+    if few:
+        seen = dict.fromkeys(range(len(few)), 0)
+        for row in sorted(ranged(few).groupBy("r", "v").count().collect(), key=lambda x: (x.r, x.v)):  # at most FEW rows a range
+            c, _, _, wanted = few[row.r]
+            found[c].update({rank: row.v for rank, r in wanted if seen[row.r] < r <= seen[row.r] + row["count"]})
+            seen[row.r] += row["count"]
+    return found
 
-def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], fractions: list[float], *, small: int = SMALL
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, exact at any size.
 
-    Up to ``small`` rows one aggregate with ``percentile`` does it; beyond that
-    ``percentile`` would gather all distinct values in one task, so the ranks
-    are selected instead.
-    """
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], fractions: list[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of each column, exact at any size, all columns at once."""
     slim = df.select(*[c.cast("double").alias(name) for name, c in columns.items()])
     counts = slim.agg(*[F.count(name).alias(name) for name in columns]).first()
-    if max(counts) <= small:
-        row = slim.agg(*[F.percentile(name, F.array(*[F.lit(f) for f in fractions])).alias(name) for name in columns])
-        got = row.first()
-        return {name: list(got[name]) if got[name] is not None else [None] * len(fractions) for name in columns}
-    out: dict[str, list[float | None]] = {}
-    for name in columns:
-        n = counts[name]
-        if not n:
-            out[name] = [None] * len(fractions)
-            continue
-        places = [(n - 1) * f for f in fractions]
-        values = kth_values(slim, F.col(name), [r for p in places for r in (int(p) + 1, min(int(p) + 2, n))])
-        out[name] = []
-        for p in places:
-            below, above = values[int(p) + 1], values[min(int(p) + 2, n)]
-            out[name].append(below + (above - below) * (p - int(p)))
+    places = {name: [(counts[name] - 1) * f for f in fractions] for name in columns if counts[name]}
+    wanted = {name: [r for p in ps for r in (int(p) + 1, min(int(p) + 2, counts[name]))] for name, ps in places.items()}
+    melted = slim.select(F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).alias("v")) for n in columns])).alias("e"))
+    values = _select(melted.select("e.c", "e.v").where(F.col("c").isin(*wanted)), wanted) if wanted else {}
+    out: dict[str, list[float | None]] = {name: [None] * len(fractions) for name in columns}
+    for name, ps in places.items():
+        pairs = [(values[name][int(p) + 1], values[name][min(int(p) + 2, counts[name])], p - int(p)) for p in ps]
+        out[name] = [low if low == high or not part else low + (high - low) * part for low, high, part in pairs]
     return out
 
 

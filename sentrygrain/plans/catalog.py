@@ -7,6 +7,7 @@ doubles rounded, times as text, flags as numbers, lists joined.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -84,7 +85,7 @@ def query(name: str, digits: int = 6):
 
 
 def _folder(p: Pipeline, name: str) -> str:
-    return f"{stages.stage_root(p.spark)}/{name}-{abs(hash(p.folder))}"
+    return f"{stages.stage_root(p.spark)}/{name}-{hashlib.sha256(p.folder.encode()).hexdigest()[:16]}"
 
 
 def _scored(p: Pipeline) -> DataFrame:

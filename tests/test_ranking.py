@@ -27,11 +27,10 @@ def test_kth_values_match_sorting(numbers, monkeypatch):
     assert ranking.kth_values(df, F.col("v"), ranks) == {r: ordered[r - 1] for r in ranks}
 
 
-@pytest.mark.parametrize("small", [10, 10**6])
-def test_quantiles_interpolate_like_numpy(numbers, small):
+def test_quantiles_interpolate_like_numpy(numbers):
     rows, df = numbers
     fractions = [0.0, 0.25, 0.5, 0.95, 0.999, 1.0]
-    got = ranking.exact_quantiles(df, {"v": F.col("v")}, fractions, small=small)["v"]
+    got = ranking.exact_quantiles(df, {"v": F.col("v")}, fractions)["v"]
     assert got == pytest.approx(list(np.quantile([v for _, v, _ in rows], fractions)), rel=1e-12)
 
 
@@ -40,6 +39,32 @@ def test_quantiles_of_nothing_are_null(numbers):
     assert ranking.exact_quantiles(df.limit(0), {"v": F.col("v")}, [0.5])["v"] == [None]
 
 
+def test_selection_ends_on_nan_and_infinity(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW", 3)
+    monkeypatch.setattr(ranking, "BINS", 8)
+    rng = random.Random(5)
+    finite = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 308) for _ in range(300)] + [1.7e308, -1.7e308, 5e-324]
+    values = finite + [math.inf] * 3 + [-math.inf] * 2 + [math.nan] * 4
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ranking.kth_values(df, F.col("v"), list(range(1, len(values) + 1)))
+    ordered = sorted(v for v in values if v == v)
+    assert [got[i] for i in range(1, len(ordered) + 1)] == ordered
+    assert all(math.isnan(got[i]) for i in range(len(ordered) + 1, len(values) + 1))
+
+
+def test_selection_scans_do_not_grow_with_columns(numbers, spark):
+    _, df = numbers
+    columns = {f"c{i}": F.col("v") * (i + 1) for i in range(9)}
+    calls = []
+    kept = type(df).collect
+    type(df).collect = lambda self: calls.append(1) or kept(self)
+    try:
+        ranking.exact_quantiles(df, columns, [0.1, 0.5, 0.9])
+    finally:
+        type(df).collect = kept
+    assert len(calls) <= 6
+
+
 def test_first_k_breaks_ties_by_time_then_id(numbers):
     rows, df = numbers
     ordered = [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[2], r[0]))]
