@@ -166,9 +166,9 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if texts:
             ids = ids.join(texts[0].select("doc_id"), "doc_id", "left_anti")
             if not ids.isEmpty():
-                texts[0] = save(texts[0].union(squeezed(docs).join(ids, "doc_id", "left_semi")))
+                texts[0] = save(texts[0].union(squeezed(docs).join(ids.hint("merge"), "doc_id", "left_semi")))
         else:
-            texts.append(save(squeezed(docs).join(ids, "doc_id", "left_semi")))
+            texts.append(save(squeezed(docs).join(ids.hint("merge"), "doc_id", "left_semi")))
         return confirmed(pairs, texts[0], width, percent)
 
     _, parts_ = linked(buckets, verify)
