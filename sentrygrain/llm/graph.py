@@ -50,26 +50,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """All confirmed links (a, b), a > b, and the components they form.
+    """All confirmed links (a, b), a > b, and (id, component) of every id that shares a bucket.
 
     ``buckets`` has (bucket, id). ``verify`` takes pairs (a, b) and returns those that are linked.
+    A turn joins the components that its new links touch and leaves the others as they are; buckets
+    that hold one component only are done for good.
     """
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
     members = save(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     tried = save(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     links = save(verify(tried))
+    found = components(links)
+    placed = members.select("id").distinct().join(found, "id", "left")
+    placed = save(placed.select("id", F.coalesce("component", "id").alias("component")))
     for turn in count():
-        found = save(components(links))
-        placed = members.select("bucket", "id").join(found, "id", "left")
-        placed = save(placed.select("bucket", "id", F.coalesce("component", "id").alias("component")))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        open_ = placed.join(mixed.select("bucket"), "bucket", "left_semi")
+        here = members.select("bucket", "id").join(placed, "id")
+        mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        members = save(here.join(mixed.select("bucket"), "bucket", "left_semi"))
         first = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("order"), F.col("id").alias("hub"), F.col("component").alias("of")))
-        hubs = open_.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.hub", "first.of")
-        pairs = open_.join(hubs, "bucket").filter("component <> of")
+        hubs = members.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.hub", "first.of")
+        pairs = members.join(hubs, "bucket").filter("component <> of")
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         fresh = save(pairs.join(tried, ["a", "b"], "left_anti"))
         more = save(verify(fresh)) if not fresh.isEmpty() else fresh
         if more.isEmpty():
-            return links, found
+            return links, placed
         links, tried = save(links.union(more)), save(tried.union(fresh))
+        ends = more
+        for side in "ab":
+            ends = ends.join(placed.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side)
+        merged = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("into"))
+        placed = placed.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+        placed = save(placed)
