@@ -173,8 +173,6 @@ class Config:
     chunk_rows: int = 2_000_000
     # scale: profile maps beyond this many keys move to a joined table
     wide_profile_keys: int = 2_000
-    # scale: alert candidates of one entity beyond this leave the per-entity fold
-    fold_candidates: int = 100_000
 
 
 DEFAULTS = Config()

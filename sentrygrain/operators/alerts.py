@@ -25,42 +25,11 @@ def candidates(scored: DataFrame, config: Config = DEFAULTS) -> DataFrame:
 def emitted(pages: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """event_ids that open an alert; all other candidates are suppressed.
 
-    An entity's candidates are folded in order while they are few. An entity
-    with more than ``fold_candidates`` of them is never gathered: there each
-    candidate points to the one that would follow it, and the chain from the
-    entity's first candidate is marked by doubling those pointers.
+    Each candidate points to the one that would follow it as an alert, and the
+    chain from the entity's first candidate is marked by doubling those
+    pointers, so an entity's candidates are never gathered.
     """
-    sizes = pages.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    busy = stages.save(sizes.where(F.col("n") > config.fold_candidates).select("entity_id"))
-    if busy.isEmpty():
-        return _fold(pages, config)
-    # At most candidates / fold_candidates rows, so the broadcast is bounded.
-    calm = pages.join(F.broadcast(busy), "entity_id", "left_anti")
-    hot = pages.join(F.broadcast(busy), "entity_id", "left_semi")
-    return _fold(calm, config).unionByName(_chain(hot, config))
-
-
-def _fold(pages: DataFrame, config: Config) -> DataFrame:
-    cooldown_us = int(config.risk.cooldown_seconds * 1e6)
-    ordered = F.sort_array(F.collect_list(F.struct("at", "event_id", "rank")))
-    zero = F.struct(
-        F.lit(None).cast("bigint").alias("at"),
-        F.lit(0).alias("rank"),
-        F.array().cast("array<string>").alias("out"),
-    )
-
-    def step(acc, page):
-        opens = acc["at"].isNull() | (page["at"] - acc["at"] >= cooldown_us)
-        if config.risk.escalation_bypasses_cooldown:
-            opens = opens | (page["rank"] > acc["rank"])
-        return F.struct(
-            F.when(opens, page["at"]).otherwise(acc["at"]).alias("at"),
-            F.when(opens, page["rank"]).otherwise(acc["rank"]).alias("rank"),
-            F.when(opens, F.concat(acc["out"], F.array(page["event_id"]))).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = pages.groupBy("entity_id").agg(ordered.alias("pages"))
-    return folded.select(F.explode(F.aggregate("pages", zero, step)["out"]).alias("event_id"))
+    return _chain(pages, config)
 
 
 def _successors(pages: DataFrame, config: Config) -> DataFrame:

@@ -11,7 +11,7 @@ from sentrygrain.functions import scoring
 from sentrygrain.operators import alerts, risk
 from sentrygrain.operators.timeline import assign_chunks
 
-HOT = replace(DEFAULTS, chunk_rows=9, fold_candidates=3)
+HOT = replace(DEFAULTS, chunk_rows=9)
 
 
 def evidence_rows(seed=1, n=240):
@@ -41,15 +41,15 @@ def test_no_half_life_keeps_nothing(spark):
 
 
 @pytest.mark.parametrize("escalate", [True, False])
-@pytest.mark.parametrize("limit", [3, 10**6], ids=["chain", "fold"])
-def test_cooldown_and_escalation(spark, escalate, limit):
+@pytest.mark.parametrize("chunk_rows", [9, 10**6])
+def test_cooldown_and_escalation(spark, escalate, chunk_rows):
     rng = random.Random(8)
     pages, at = [], 0
     for i in range(300):
         at += rng.choice([0, 1, 600, 1799, 3599, 3600])
         pages.append((rng.choice(["A"] * 6 + ["B"]), at, f"E{i:04d}", rng.choice([3, 3, 3, 4])))
     df = spark.createDataFrame([(e, i, t * 1_000_000, r) for e, t, i, r in pages], "entity_id string, event_id string, at bigint, rank int")
-    config = replace(HOT, fold_candidates=limit, risk=replace(DEFAULTS.risk, escalation_bypasses_cooldown=escalate))
+    config = replace(HOT, chunk_rows=chunk_rows, risk=replace(DEFAULTS.risk, escalation_bypasses_cooldown=escalate))
     got = sorted(r.event_id for r in alerts.emitted(df, config).collect())
     assert got == brute.alerts(pages, 3600, escalate)
 
