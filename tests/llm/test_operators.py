@@ -136,6 +136,18 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in found.collect()} == {i: c for i, c in brute_components({*ids}, [e for e in edges if e[0] != e[1]]).items()}
 
 
+def test_hubs_reach_all_links_of_small_buckets(spark):
+    """With ``hubs`` hubs a turn, no link between components of a bucket of at most ``hubs`` + 1 members is missed."""
+    wanted = [(12, 11), (14, 13), (16, 11), (18, 17), (29, 25)]
+    buckets = [(b, i) for b in (1, 2) for i in range(10 * b, 10 * b + 9 + (b == 2))] + [(3, 1), (4, 14), (4, 29)]
+    rows = spark.createDataFrame(buckets, "bucket long, id long")
+    links = spark.createDataFrame(wanted, "a long, b long")
+    found, placed = graph.linked(rows, lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), hubs=9)
+    ids = {i for _, i in buckets if i != 1}
+    assert {r["id"]: r["component"] for r in placed.collect()} == {i: c for i, c in brute_components(ids, wanted).items()}
+    assert {(r["a"], r["b"]) for r in found.collect()} == set(wanted)
+
+
 # -- suffixes and automata -----------------------------------------------------------------
 def brute_bytes(rows, width):
     counts = Counter(b[i : i + width] for _, t, *_ in rows for b in [(t or "").encode()] for i in range(len(b) - width + 1))
