@@ -32,21 +32,18 @@ def average_path(n: float) -> float:
 def sample_rows(rows: DataFrame, n: int, config: Config = DEFAULTS) -> DataFrame:
     """(tree, order, x): the hash sample of every tree.
 
-    With plenty of rows each sampled row serves one tree, drawn by one hash; with
-    few rows every tree draws from all of them.
+    A row enters the pool with one hash and serves each tree with another, so that a
+    tree gets about twice its sample at every size and large tables are hashed once a row.
     """
     trees, psi = config.forest_trees, config.forest_sample
     x = F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("x")
     space = float(1 << 32)
     draw = lambda salt: F.pmod(F.xxhash64("event_id", F.lit(config.seed), salt), F.lit(1 << 32))
-    if n > 8 * trees * psi:
-        share = 2.0 * trees * psi / n
-        kept = rows.where(draw(F.lit("row")) < share * space)
-        tree = F.pmod(F.xxhash64("event_id", F.lit(config.seed), F.lit("tree")), F.lit(trees)).cast("int")
-        return kept.select(tree.alias("tree"), draw(F.lit("order")).alias("order"), x)
-    share = min(1.0, 2.0 * psi / max(n, 1))
+    pool = min(1.0, 8.0 * trees * psi / max(n, 1))
+    share = min(1.0, 2.0 * psi / max(n * pool, 1.0))
     picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share * space)
-    exploded = rows.select("event_id", x, F.explode(picked).alias("tree"))
+    kept = rows.where(draw(F.lit("row")) < pool * space)
+    exploded = kept.select("event_id", x, F.explode(picked).alias("tree"))
     return exploded.select("tree", draw(F.col("tree")).alias("order"), "x")
 
 
