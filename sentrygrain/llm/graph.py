@@ -1,10 +1,11 @@
 """Links between items that share buckets, and their connected components.
 
 Candidates are star shaped: within a bucket, members are compared with a hub,
-never all with all, so pairs grow with the members. Afterwards buckets that still
-hold several components draw other hubs, with which members of other components
-are compared, until a turn finds no link. Everything is aggregation and joins that Spark can
-split; nothing of a bucket or component is gathered in one place.
+so pairs grow with the members as long as these hang together. Afterwards buckets that
+still hold several components draw other hubs, with which members of other components
+are compared, until no pair of two components of a bucket is left; where a bucket's members
+are not linked, that is every pair of them. Everything is aggregation and joins that Spark
+can split; nothing of a bucket or component is gathered in one place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import save
@@ -49,34 +50,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.union(own).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: int = 1) -> tuple[DataFrame, DataFrame]:
-    """All confirmed links (a, b), a > b, and (id, component) of every id that shares a bucket.
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a > b, and (id, component) of every id that shares a bucket.
 
     ``buckets`` has (bucket, id). ``verify`` takes pairs (a, b) and returns those that are linked.
-    A turn joins the components that its new links touch and leaves the others as they are. Done for
-    good are buckets that hold one component only, and those in which all members but one have been hubs.
-    After the first turn a bucket draws ``hubs`` hubs a turn, of as many components as it can.
+    Two members of a bucket that are linked always come to one component: a bucket is done when its
+    members are in one component, or when every pair of them in different ones has been compared.
+    A turn joins the components that its new links touch and leaves the others as they are.
+    After the first turn, with one hub, a bucket draws ``hubs`` hubs and then each turn four times as many.
+    A hub was compared with all members and leaves its bucket. Joins on a large bucket can be split by Spark.
     """
     stars = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    members = save(buckets.join(stars.select("bucket", "hub"), "bucket"))
-    tried = save(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    members = buckets.join(stars, "bucket").filter("id <> hub")
+    place = F.pmod(F.xxhash64("bucket", "id"), F.col("n") - 1)
+    members = save(members.select("bucket", "id", "hub", place.alias("place")))
+    tried = save(members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     links = save(verify(tried))
     found = components(links)
-    placed = members.select("id").distinct().join(found, "id", "left")
+    placed = members.select("id").union(members.select("hub")).distinct().join(found, "id", "left")
     placed = save(placed.select("id", F.coalesce("component", "id").alias("component")))
+    reach = 0
     for turn in count():
-        here = members.select("bucket", "id").join(placed, "id")
-        mixed = here.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        mixed = mixed.filter("lo < hi").filter(F.col("n") > 1 + (hubs if turn else 1))
+        # places below ``reach`` were hubs; every place is below the bucket's members
+        here = members.filter(F.col("place") >= reach).select("bucket", "id", "place").join(placed, "id")
+        mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         members = save(here.join(mixed.select("bucket"), "bucket", "left_semi"))
-        drawn = _drawn(members, turn, hubs)
-        pairs = members.join(drawn, "bucket").filter("component <> of")
+        if members.isEmpty():
+            return links, placed
+        reach += hubs * 4**turn
+        drawn = members.filter(F.col("place") < reach).select("bucket", F.col("id").alias("hub"), F.col("component").alias("of"))
+        pairs = members.join(drawn, "bucket").filter("component <> of").filter((F.col("place") >= reach) | (F.col("id") > F.col("hub")))
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         fresh = save(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = save(verify(fresh)) if not fresh.isEmpty() else fresh
+        if fresh.isEmpty():
+            continue
+        tried = save(tried.union(fresh))
+        more = save(verify(fresh))
         if more.isEmpty():
-            return links, placed
-        links, tried = save(links.union(more)), save(tried.union(fresh))
+            continue
+        links = save(links.union(more))
         ends = more
         for side in "ab":
             ends = ends.join(placed.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side)
@@ -84,19 +96,3 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: i
         merged = merged.select(F.col("id").alias("component"), F.col("component").alias("into"))
         placed = placed.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
         placed = save(placed)
-
-
-def _drawn(members: DataFrame, turn: int, hubs: int) -> DataFrame:
-    """(bucket, hub, of): each bucket's hubs of a turn and their components.
-
-    Ranks are cut at ``hubs`` where they are made, so that a task passes on that many rows of a group.
-    """
-    order = F.xxhash64(F.lit(turn), "bucket", "id")
-    if hubs == 1:
-        first = F.min(F.struct(order.alias("order"), F.col("id").alias("hub"), F.col("component").alias("of")))
-        return members.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.hub", "first.of")
-    drawn = members.select("bucket", F.col("id").alias("hub"), F.col("component").alias("of"), order.alias("order"))
-    own = Window.partitionBy("bucket", "of").orderBy("order", "hub")
-    drawn = drawn.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= hubs)
-    all_ = Window.partitionBy("bucket").orderBy("rank", "order", "hub")
-    return drawn.withColumn("place", F.row_number().over(all_)).filter(F.col("place") <= hubs).select("bucket", "hub", "of")

@@ -148,6 +148,17 @@ def test_hubs_reach_all_links_of_small_buckets(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == set(wanted)
 
 
+def test_a_bucket_ends_only_when_all_pairs_are_compared(spark):
+    """Links between single members of large buckets, of which most hubs find none."""
+    wanted = [(3, 2), (77, 41), (99, 98), (150, 60)]
+    buckets = [(1, i) for i in range(100)] + [(2, i) for i in (*range(100, 160), 60)]
+    rows = spark.createDataFrame(buckets, "bucket long, id long")
+    links = spark.createDataFrame(wanted, "a long, b long")
+    found, placed = graph.linked(rows, lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), hubs=2)
+    assert {r["id"]: r["component"] for r in placed.collect()} == brute_components({i for _, i in buckets}, wanted)
+    assert {(r["a"], r["b"]) for r in found.collect()} == set(wanted)
+
+
 # -- suffixes and automata -----------------------------------------------------------------
 def brute_bytes(rows, width):
     counts = Counter(b[i : i + width] for _, t, *_ in rows for b in [(t or "").encode()] for i in range(len(b) - width + 1))
