@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A vocabulary learnt from prose covers prose with few tokens. A run of key-like
-characters that needs many tokens for its length is a random string. Runs that
-are known digests (hexadecimal of a digest's length), UUIDs or plain numbers are
-excluded first, and so are runs inside a pattern's span.
+characters that needs many tokens for its length is a random string. Of a run
+that is none as a whole, segments (between + / _ = -) and windows of tokens are
+tested too, and a window's segments go as a whole. Known digests (hexadecimal of
+a digest's length), UUIDs and plain numbers are excluded first, as runs and as
+segments, and so are a pattern's spans.
 
 Spans are (kind, start, end) in code points, end exclusive, over the whole
 text; null or empty text has none. Kinds in order: assign, access, hex, random.
@@ -37,11 +39,15 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
+_EDGE = re.compile(r"[+/_=-]")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]+)(?![A-Za-z0-9])")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 #: A run is random if it has at least so many characters, and fewer than so many of them for each token.
 MIN_RUN, CHARS_PER_TOKEN = 20, 1.9
+#: The same for windows within a run, and for letters of one case, of which at least so many must differ.
+WINDOW_CHARS_PER_TOKEN, LOWER_CHARS_PER_TOKEN, UPPER_CHARS_PER_TOKEN, MIN_LETTERS = 1.7, 1.85, 1.7, 9
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -76,10 +82,40 @@ def is_random(run: str, ranks: str) -> bool:
         return False
     if len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
         return False
+    return _many_tokens(run, len(encoding(ranks).encode_ordinary(run)), CHARS_PER_TOKEN)
+
+
+def _many_tokens(run: str, tokens: int, limit: float) -> bool:
     kinds = sum(bool(re.search(k, run[1:])) for k in ("[a-z]", "[A-Z]", "[0-9]", "[+/_=-]"))
-    if kinds < 2:  # a word, capitalised or not, a rule of dashes, one case of letters
-        return False
-    return len(run) < CHARS_PER_TOKEN * len(encoding(ranks).encode_ordinary(run))
+    if kinds < 2:  # one case of letters, a word, capitalised or not, a rule of dashes
+        if not run.isalpha() or len(set(run)) < MIN_LETTERS:
+            return False
+        limit = min(limit, UPPER_CHARS_PER_TOKEN if run[1:].isupper() else LOWER_CHARS_PER_TOKEN)
+    return len(run) < limit * tokens
+
+
+def random_parts(run: str, ranks: str) -> list[tuple[int, int]]:
+    """(start, end) of random strings within a run that is not random as a whole: segments, and those that token windows touch."""
+    edges = [-1, *(m.start() for m in _EDGE.finditer(run)), len(run)]
+    segments = [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if b > a + 1]
+    found = [(a, b) for a, b in segments if is_random(run[a:b], ranks)]
+    ends = np.cumsum([len(x) for x in encoding(ranks).decode_tokens_bytes(encoding(ranks).encode_ordinary(run))]).tolist()
+    starts, last = [0, *ends[:-1]], 0
+    for first, start in enumerate(starts):
+        while last < len(ends) and ends[last] - start < MIN_RUN:
+            last += 1
+        if last == len(ends):
+            break
+        window = run[start : ends[last]]
+        if re.search("[A-Za-z]", window) and _many_tokens(window, last - first + 1, WINDOW_CHARS_PER_TOKEN):
+            found += [(a, b) for a, b in segments if a < ends[last] and start < b and min(b, ends[last]) - max(a, start) > 1]
+    out: list[list[int]] = []
+    for a, b in sorted(set(found)):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -92,8 +128,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def random_spans(text: str, base: list[tuple[str, int, int]], ranks: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _RUN.finditer(text):
-        if len(m[0]) >= MIN_RUN and not any(s < m.end() and m.start() < e for _, s, e in base) and is_random(m[0], ranks):
+        if len(m[0]) < MIN_RUN:
+            continue
+        cuts = [(s, e) for _, s, e in base if s < m.end() and m.start() < e]
+        if not cuts and is_random(m[0], ranks):
             out.append(("random", *m.span()))
+            continue
+        for k in _KNOWN.finditer(m[0]):
+            if "-" in k[0] or k[0].isdigit() or len(k[0]) in DIGEST_LENGTHS:
+                cuts.append((m.start() + k.start(), m.start() + k.end()))
+        at = m.start()
+        for s, e in [*sorted(cuts), (m.end(), m.end())]:
+            if s - at >= MIN_RUN:
+                out += [("random", at + a, at + b) for a, b in random_parts(text[at:s], ranks)]
+            at = max(at, e)
     return out
 
 

@@ -377,6 +377,26 @@ def test_secret_kinds():
         assert secrets.is_random(run, secrets.default_ranks()) == random_, run
 
 
+def test_random_strings_within_readable_runs_and_of_one_case():
+    rng, ranks = random.Random(11), secrets.default_ranks()
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hidden = total = 0
+    for at in ("//hooks.example.com/services/incoming/webhook/notifications/{}", "/api/v1/customers/downloads/{}/report", "my_internal-service_name-{}"):
+        for _ in range(60):
+            key = "".join(rng.choices(lower + upper + "0123456789", k=24))
+            text = f"see https:{at.format(key)} now"
+            total += 1
+            hidden += key not in secrets.hide(text, secrets.all_spans(text, ranks)[1])
+    assert hidden == total
+    for letters in (lower, upper):
+        keys = ["".join(rng.choices(letters, k=40)) for _ in range(100)]
+        assert sum(secrets.is_random(k, ranks) for k in keys) >= 85
+    readable = ["//docs.example.com/services/incoming/webhook/notifications", "the_quick_brown_fox_jumps_over_the_lazy_dog", "INTERNATIONALIZATION"]
+    readable += ["/objects/550e8400-e29b-41d4-a716-446655440000/download/latest", "-" * 40, "=" * 30, "ACGT" * 10, "x" * 30, "/archive/2024-01-02/monthly-summary-report"]
+    for r in readable:
+        assert secrets.all_spans(r, ranks)[1] == [], r
+
+
 def test_redaction_keeps_other_columns(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
