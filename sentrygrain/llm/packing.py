@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def ranked(path: str):
     """The vocabulary of a byte-level BPE file as ranks, and each id's length in bytes.
 
     Ids of such a file are ranks of merges, so the faster rank encoder gives the
-    ids that the file's own tokenizer gives; a test compares them.
+    ids that the file's own tokenizer gives to texts without its added tokens; a
+    test compares them. Texts with one go through the file's own tokenizer.
     """
     import public_tokenizers
     import tiktoken
@@ -130,6 +132,24 @@ class Encoder:
         return ids, total[np.searchsorted(bounds, t.offsets)]
 
 
+@lru_cache(maxsize=2)
+def own_tokenizer(path: str):
+    """The file's tokenizer, and the contents of its added tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def with_added(text: pa.Array, path: str) -> dict[int, np.ndarray]:
+    """Ids of the rows that hold an added token; no other row's ids depend on added tokens."""
+    tokenizer, added = own_tokenizer(path)
+    rows: set[int] = set()
+    for content in added:
+        rows.update(np.flatnonzero(pc.match_substring(text, content).fill_null(False).to_numpy(zero_copy_only=False)).tolist())
+    return {r: np.array(tokenizer.encode(text[r].as_py(), add_special_tokens=False).ids, "<u4") for r in sorted(rows)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -143,12 +163,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
+            special = with_added(batch.column(1), path)
             for t in parts(batch.column(1)):
                 ids, at = enc.encode(t)
                 row, start, length, crc, tokens = [], [], [], [], []
                 flat = ids.astype("<u4")
                 for i in range(t.n):
-                    own = np.append(flat[at[i] : at[i + 1]], np.array([END], "<u4"))
+                    own = special.get(t.first + i, flat[at[i] : at[i + 1]])
+                    own = np.append(own, np.array([END], "<u4"))
                     n = len(own)
                     for s in range(0, n, window):
                         row.append(t.first + i)

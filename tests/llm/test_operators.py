@@ -350,6 +350,21 @@ def test_chunked_ids_are_the_tokenizers():
             assert found[at[i] : at[i + 1]].tolist() == tokenizer.encode(texts[t.first + i], add_special_tokens=False).ids
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["a <|endoftext|> x", "<|endoftext|><|endoftext|>", "plain text", "é<|endoftext|>\n b  <|endoftext", " x" * 1500 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["start"]): (r["doc_tokens"], r["ids_crc32"]) for r in packing.pieces(df).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), packing.WINDOW):
+            want[d, at] = (len(ids), zlib.crc32(np.array(ids[at : at + packing.WINDOW], "<u4").tobytes()))
+    assert found == want
+
+
 # -- secrets -------------------------------------------------------------------------------
 def test_secrets(docs, rows):
     found = got(secrets.secrets(docs), "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
