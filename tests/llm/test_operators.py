@@ -277,6 +277,19 @@ def test_near_lines_need_both_tests(spark):
     assert found[1] == (0,)
 
 
+def test_lines_near_one_hub_only_by_simhash_are_compared(spark, monkeypatch):
+    """Lines of equal SimHash whose first is like none of the others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "signed", lambda rows, own=lines.signed: own(rows).withColumn("sim", F.lit(5).cast("long")))
+    rng = random.Random(12)
+    texts = [" ".join(f"{chr(97 + k % 26)}{rng.randrange(10**6):x}" for _ in range(12)) for k in range(30)]
+    texts += [t + " x" for t in texts[1:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = got(lines.report(df), "n_removed")
+    assert found == {d: (int(d >= 30),) for d in range(59)}
+
+
 def test_blocks_miss_nothing(spark):
     rng = random.Random(9)
     pairs = []
