@@ -290,6 +290,21 @@ def test_lines_near_one_hub_only_by_simhash_are_compared(spark, monkeypatch):
     assert found == {d: (int(d >= 30),) for d in range(59)}
 
 
+def test_long_lines_by_edit_distance_and_short_lines_by_equality(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "signed", lambda rows, own=lines.signed: own(rows).withColumn("sim", F.lit(5).cast("long")))
+    rng = random.Random(13)
+    base = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(100)]
+    near, far = list(base), list(base)
+    near[5::20] = ["z" + w[1:] for w in near[5::20]]
+    far[::3] = ["zzzzzzz"] * len(far[::3])
+    short = "Introduction\n\n日本語の一行\n}"
+    texts = [" ".join(base), " ".join(near), " ".join(far), short, short]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(lines.report(df), "removed") == {0: ("",), 1: ("0",), 2: ("",), 3: ("",), 4: ("0,2",)}
+
+
 def test_blocks_miss_nothing(spark):
     rng = random.Random(9)
     pairs = []
