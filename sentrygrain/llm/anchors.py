@@ -9,11 +9,14 @@ units from the first window's start to the last one's end.
 Equal segments are one class, named by the anchor's and the segment's hash (128
 bits), and grouped with partial aggregation. What remains are anchors met with
 several different segments; one representative of each is resolved on its own
-content by the operator (see suffixes.py and automata.py).
+content by the operator (see suffixes.py and automata.py). The windows of anchors
+with more than ``CROWD`` segments are grouped by Spark, by 128 bits of hash, so
+that no task's group grows with the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,10 @@ from .arrays import Spans, Texts, mix, parts
 from .blobs import opened, squeezed
 
 
+#: The operator resolves an anchor of at most so many different segments in one task.
+CROWD = 1000
+
+
 @dataclass(frozen=True)
 class Kind:
     width: int
@@ -108,14 +115,54 @@ def repeated(docs: DataFrame, kind: Kind, keep_first: bool, resolve: Callable[[D
     held = save(every.join(often, "gram"))
     first = F.min(F.struct("doc_id", "pos", "extent")).alias("first")
     classes = save(held.groupBy("gram", "seg").agg(F.count("*").alias("n"), first))
-    several = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    reps = save(classes.join(several, "gram", "left_semi").select("gram", "first.doc_id", "first.pos", "first.extent"))
+    several = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("n", "segments")
+    reps = save(classes.join(several, "gram").select("gram", "first.doc_id", "first.pos", "first.extent", "segments"))
+    few, many = (reps.filter(f"segments {sign} {CROWD}").select("gram", "doc_id", "pos", "extent") for sign in ("<=", ">"))
     full = held.join(classes.filter("n > 1").select("gram", "seg", "first"), ["gram", "seg"])
     if keep_first:
         full = full.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     left, reach = F.shiftright("extent", 32), F.col("extent").bitwiseAND(F.lit(0xFFFFFFFF))
     full = full.select("doc_id", (F.col("pos") - left).alias("begin"), (F.col("pos") + reach).alias("end"))
-    return full.union(resolve(reps).select("doc_id", "begin", "end"))
+    full = full.union(resolve(few).select("doc_id", "begin", "end"))
+    return full if many.isEmpty() else full.union(crowded(docs, kind, keep_first, many))
+
+
+def crowded(docs: DataFrame, kind: Kind, keep_first: bool, reps: DataFrame) -> DataFrame:
+    """(doc_id, begin, end) of the representatives' repeated windows, each window grouped on its own.
+
+    All windows of a segment chose its anchor, and equal windows choose equal anchors, so these are all that can be equal.
+    """
+    names = ["doc_id", "begin", "key_a", "key_b"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                text = next(iter(opened(batch.column(1))))
+                units = text.split() if kind.words else text
+                pos, extent = (batch.column(2).values.field(i).to_numpy() for i in range(2))
+                lo, hi = batch.column(2).offsets[0].as_py(), batch.column(2).offsets[1].as_py()
+                begin: list[int] = []
+                for p, e in zip(pos[lo:hi].tolist(), extent[lo:hi].tolist(), strict=True):
+                    begin += range(p - (e >> 32), p + (e & 0xFFFFFFFF) - kind.width + 1)
+                for cut in range(0, len(begin), 20_000):
+                    some = begin[cut : cut + 20_000]
+                    made = (units[b : b + kind.width] for b in some)
+                    keys = b"".join(hashlib.blake2b(b" ".join(u) if kind.words else u, digest_size=16).digest() for u in made)
+                    key = np.frombuffer(keys, np.int64).reshape(-1, 2)
+                    doc = batch.column(0).take(pa.array(np.zeros(len(some), np.int64)))
+                    columns = [doc, pa.array(some, pa.int64()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = with_texts(reps, docs).select("doc_id", "blob", "found")
+    every = save(rows.mapInArrow(windows, f"doc_id {id_kind}, begin long, key_a long, key_b long"))
+    first = F.min(F.struct("doc_id", "begin")).alias("first")
+    again = every.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), first).filter("n > 1")
+    found = every.join(again, ["key_a", "key_b"])
+    if keep_first:
+        found = found.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
+    return found.select("doc_id", "begin", (F.col("begin") + kind.width).alias("end"))
 
 
 def with_texts(reps: DataFrame, docs: DataFrame) -> DataFrame:

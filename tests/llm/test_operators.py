@@ -17,6 +17,7 @@ import pytest
 
 import corpus_pipeline
 from sentrygrain.llm import (
+    anchors,
     arrays,
     automata,
     exact,
@@ -228,6 +229,34 @@ def test_automata(docs, rows, width, gram):
     assert got(automata.dedup(docs, width, gram), "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_no_task_gets_a_crowded_anchor(spark, monkeypatch, words):
+    """Many different surroundings of one passage: anchors of many segments do not go to the operator's tasks."""
+    rng = random.Random(14)
+    passage = "red blue green black white"
+    made = [" ".join(f"{rng.choice('ab')}{rng.randrange(3)}" for _ in range(6)) for _ in range(12)]
+    rows = [(i, f"{rng.choice(made)} {passage} {rng.choice(made)} {passage}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(anchors, "CROWD", 3)
+    module = automata if words else suffixes
+    most = []
+
+    def resolve(docs, kind, own=module.resolve):
+        def run(reps):
+            most.append(max((r["count"] for r in reps.groupBy("gram").count().collect()), default=0))
+            return own(docs, kind)(reps)
+
+        return run
+
+    monkeypatch.setattr(module, "resolve", resolve)
+    if words:
+        want, found = brute_words(rows, 6), got(automata.dedup(docs, 6, 2), "n_words", "n_removed", "kept_sha256")
+    else:
+        want, found = brute_bytes(rows, 30), got(suffixes.dedup(docs, 30, 8), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sum(w[1] for w in want.values()) and found == want
+    assert most[0] <= 3
+
+
 def test_matching_statistics():
     rng = random.Random(6)
     for _ in range(30):
