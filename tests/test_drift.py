@@ -3,7 +3,7 @@ from dataclasses import replace
 
 import brute
 import pytest
-from conftest import event
+from build import event
 
 from sentrygrain.config import DEFAULTS
 from sentrygrain.contracts import ContractError
@@ -67,7 +67,7 @@ def test_closed_form_equals_replay(spark, make_events, config):
 
 
 def brute_start():
-    from conftest import START
+    from build import START
 
     return START
 

@@ -2,7 +2,7 @@ import random
 
 import brute
 import pytest
-from conftest import START, event
+from build import START, event
 from pyspark.sql import functions as F
 
 from sentrygrain.operators import campaigns, evaluation

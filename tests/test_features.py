@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import brute
 import pytest
-from conftest import START, event
+from build import START, event
 
 from sentrygrain.config import DEFAULTS, FEATURES
 from sentrygrain.functions.scoring import micros

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from build import SMALL
 
 import __spark_entry__ as entry
 from tools.check import normal

@@ -3,7 +3,7 @@ from dataclasses import replace
 
 import brute
 import pytest
-from conftest import event
+from build import event
 from pyspark.sql import functions as F
 
 from sentrygrain.config import DEFAULTS

@@ -2,7 +2,7 @@ import json
 import re
 
 import pytest
-from conftest import event
+from build import event
 from pyspark.sql import functions as F
 
 from sentrygrain import contracts
