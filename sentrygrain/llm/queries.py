@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, suffixes
+from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, spelling, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,61 @@ def _(spark, folder):
 @query("op3_sentencepiece_sampling")
 def _(spark, folder):
     return pieces.sampled(documents(spark, folder))
+
+
+#: crc32, bit by bit, for the SQL below.
+CRC_TABLE = """
+crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+  from range(256) r(i)
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of ``text``, beside the row of crc_table."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+SPELLING_SQL = rf"""
+with recursive {CRC_TABLE},
+runs as (
+  select coalesce(doc_id::varchar, '') as own,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+),
+counted as (select own, run, count(*) as times, own || ':' || run as keyed from runs where length(run) >= 6 group by all),
+hashed as (select run, times, {crc_sql("keyed")} as h from counted, crc_table),
+w as (
+  select word, sum(times)::bigint as n
+  from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed)
+  where length(word) >= 6 group by word having sum(times) >= 5
+),
+-- one byte a letter, since the distance counts bytes
+p as (
+  select word, n, length(word) as l,
+    translate(word, (select string_agg(chr(i::int), '' order by i) from range(192, 256) r(i)), (select string_agg(chr(i::int), '' order by i) from range(32, 96) r(i))) as plain
+  from w
+),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from p a join p b on b.l between a.l - 1 and a.l + 1 and a.word <> b.word
+  where levenshtein(a.plain, b.plain) = 1
+),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+f as (
+  select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n
+  from w left join best using (word)
+),
+walk as (
+  select word, form as last, 1 as step from f where form is not null
+  union all
+  select walk.word, f.form, step + 1 from walk join f on f.word = walk.last where f.form is not null
+),
+ends as (select word, arg_max(last, step) as root from walk group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from f left join ends using (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def _(spark, folder):
+    return spelling.variants(documents(spark, folder))
