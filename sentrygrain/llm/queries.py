@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, spelling, suffixes
+from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, spelling, suffixes, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +176,38 @@ select word, form, coalesce(root, word) as root, n, n_near, form_n from f left j
 @query("op11_spelling_variants", SPELLING_SQL)
 def _(spark, folder):
     return spelling.variants(documents(spark, folder))
+
+
+TRIE_SQL = rf"""
+with {CRC_TABLE},
+own as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as ts
+  from conversations where conv_id is not null group by conv_id
+),
+h as (select conv_id, ts, conv_id - conv_id % 20 as base, ({crc_sql("conv_id::varchar")} % 4)::int as h from own, crc_table),
+c as (
+  select h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), case when len(h.ts) > h.h then h.ts[h.h + 1:] else [] end) as ts
+  from h left join own b on b.conv_id = h.base
+),
+p as (select conv_id, d, len(ts) as n, ts[1:d] as path from (select *, unnest(range(len(ts) + 1)) as d from c)),
+node as (
+  select path, d, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256
+  from p group by path, d
+),
+kid as (select path[1:d - 1] as path, d - 1 as d, count(*) as n from node where d > 0 group by all),
+own_sum as (
+  select node.*, coalesce(kid.n, 0) as n_children,
+    case when d = 0 then 0 else (n_convs - 1) * len(list_filter(regexp_split_to_array(path[d].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) end as saved
+  from node left join kid using (path, d)
+),
+up as (select path[1:k] as path, k as d, n_children, saved from (select *, unnest(range(d + 1)) as k from own_sum)),
+total as (select path, d, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from up group by all)
+select s.conv_id, s.d as depth, a.conv_id as parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+from own_sum s join total using (path, d) left join node a on s.d > 0 and a.d = s.d - 1 and a.path = s.path[1:s.d - 1]
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def _(spark, folder):
+    return trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
