@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, spelling, suffixes, trie
+from . import automata, exact, language, lines, minhash, packing, pieces, quality, secrets, spelling, suffixes, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -211,3 +211,8 @@ from own_sum s join total using (path, d) left join node a on s.d > 0 and a.d =
 @query("op12_conversation_trie", TRIE_SQL)
 def _(spark, folder):
     return trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op13_toxicity")
+def _(spark, folder):
+    return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
