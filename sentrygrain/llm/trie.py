@@ -114,7 +114,7 @@ class Parentheses:
             found = (here % 2 == 0) & (self.low[np.minimum(here + 1, len(self.low) - 1)] <= target[climbing])
             node[climbing] = np.where(found, here + 1, here // 2)
             climbing = climbing[~found]
-        while len(node) and node[0] < self.leaves or (node < self.leaves).any():
+        while (node < self.leaves).any():
             inner = node < self.leaves
             left = 2 * node[inner]
             node[inner] = np.where(self.low[left] <= target[inner], left, left + 1)
@@ -242,27 +242,6 @@ def shard_rows(shard: int, ids: np.ndarray, paths: list[bytes], words: np.ndarra
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _arrow_schema()
-    first = TaskContext.get().partitionId() << 32
-    count, held, turns = 0, [], 0
-
-    def done():
-        ids = np.array([r[0] for r in held], np.int64)
-        words = np.concatenate([np.asarray(r[2], np.int64) for r in held])
-        return pa.RecordBatch.from_pydict(shard_rows(first + count, ids, [r[1] for r in held], words), schema)
-
-    for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            held.append(row)
-            turns += len(row[2])
-            if len(held) >= SHARD_ROWS or turns >= SHARD_TURNS:
-                yield done()
-                count, held, turns = count + 1, [], 0
-    if held:
-        yield done()
-
-
 def _arrow_schema() -> pa.Schema:
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ROWS.split(", "))])
@@ -320,10 +299,31 @@ def _merged(rows: DataFrame) -> DataFrame:
     return save(whole.join(totals, "key").join(ends, "key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", nothing)))
 
 
-def trie(rows: DataFrame) -> DataFrame:
+def trie(rows: DataFrame, shard_rows_most: int = SHARD_ROWS, shard_turns_most: int = SHARD_TURNS) -> DataFrame:
     """One row per node of the trie of ``rows`` (conv_id, path, words) with distinct ids; a node is named by (conv_id, depth)."""
-    dealt = save(rows).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    shards = save(dealt.mapInArrow(_shards, ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow_schema()
+        first = TaskContext.get().partitionId() << 32
+        count, held, turns = 0, [], 0
+
+        def done():
+            ids = np.array([r[0] for r in held], np.int64)
+            words = np.concatenate([np.asarray(r[2], np.int64) for r in held])
+            return pa.RecordBatch.from_pydict(shard_rows(first + count, ids, [r[1] for r in held], words), schema)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                turns += len(row[2])
+                if len(held) >= shard_rows_most or turns >= shard_turns_most:
+                    yield done()
+                    count, held, turns = count + 1, [], 0
+        if held:
+            yield done()
+
+    dealt = save(rows.select("conv_id", "path", "words")).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    shards = save(dealt.mapInArrow(run, ROWS))
     spine = _merged(shards)
     names = [c.split()[0] for c in NODE.split(", ")]
     above = spine.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("above"))
