@@ -8,7 +8,6 @@ depend on the adaptive profile, which depends on the risk of earlier events.
 from __future__ import annotations
 
 import math
-import pickle
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from ..operators import risk as risk_plan
 from ..operators.detectors import Scaler
 from ..operators.forest import ForestScorer
 from ..operators.profiles import KINDS, Profiles, as_struct, cohort_key, fingerprint, location
-from .state import AdaptiveView, EntityMemory, absorb, rounded, seeded_transition
+from .state import DUE_SCHEMA, HEAD_FIELDS, HEAD_SCHEMA, MAPS, AdaptiveView, EntityMemory, Head, absorb, decoded, rounded, seeded_transition
 
 SCALARS = (
     "n_events",
@@ -65,6 +64,8 @@ class LiveModel:
     adapt: bool = True
     strict: bool = False
     retention_hours: float = 0.0
+    #: Learned keys that were not seen for so long, by the clock, leave the state; 0 keeps them until they fade.
+    profile_ttl_hours: float = 0.0
 
 
 def _arrivals(profile: DataFrame, wide: DataFrame | None) -> DataFrame:
@@ -79,6 +80,21 @@ def _arrivals(profile: DataFrame, wide: DataFrame | None) -> DataFrame:
     )
 
 
+def _levels(profile: DataFrame, wide: DataFrame | None) -> DataFrame:
+    """(key, levels): JSON of kind -> count -> number of values with that count.
+
+    With it the live path knows how many values of a faded profile are left, without their names.
+    """
+    maps = [F.transform(F.map_values(f"{k}_counts"), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("n"))) for k in KINDS]
+    counts = profile.select("key", F.inline(F.flatten(F.array(*maps))))
+    if wide is not None:
+        counts = counts.unionByName(wide.select("key", "kind", "n"))
+    sizes = counts.groupBy("key", "kind", "n").agg(F.count(F.lit(1)).alias("keys"))
+    entry = F.struct(F.col("n").cast("string"), "keys")
+    kinds = sizes.groupBy("key", "kind").agg(F.map_from_entries(F.collect_list(entry)).alias("of"))
+    return kinds.groupBy("key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "of")))).alias("levels"))
+
+
 def prepare(events: DataFrame, profiles: Profiles, sensitivity=None) -> DataFrame:
     """Stateless half: each event with its frozen profile's counts and moments.
 
@@ -105,11 +121,12 @@ def prepare(events: DataFrame, profiles: Profiles, sensitivity=None) -> DataFram
         ("own", profiles.entity, profiles.wide_entity, "entity_id"),
         ("cohort", profiles.cohort, profiles.wide_cohort, "cohort"),
     ):
+        profile = profile.join(_levels(profile, wide), "key", "left")
         rows = rows.join(as_struct(profile, "_p", key), key, "left")
         p = F.col("_p")
         looked = {f"{side}_{c}": p[c].cast("double") for c in SCALARS if not c.endswith("_m2")}
         looked |= {f"{side}_{m}_m2": F.pow(p[f"{m}_std"], 2) for m in ("duration", "bytes")}
-        looked |= {f"{side}_keys_{k}": p[f"{k}_keys"] for k in KINDS}
+        looked |= {f"{side}_keys_{k}": p[f"{k}_keys"] for k in KINDS} | {f"{side}_levels": p["levels"]}
         for k in VALUE_KINDS:
             looked[f"{side}_count_{k}"] = F.try_element_at(p[f"{k}_counts"], F.col(f"v_{k}")).cast("double")
         rows = rows.withColumns(looked).drop("_p")
@@ -176,59 +193,73 @@ class EntityScorer(StatefulProcessor):
         self.model = model
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", "blob binary")
+        ttl = {"learned": int(self.model.profile_ttl_hours * 3_600_000) or None}
+        self.head = handle.getValueState("head", HEAD_SCHEMA)
+        self.states = {name: handle.getMapState(name, *schemas, ttl.get(name)) for name, schemas in MAPS.items()}
+        self.states["due"] = handle.getListState("due", DUE_SCHEMA)
 
     def close(self) -> None:
         pass
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        due = []
+        for part, payload in zip(initialState["part"], initialState["payload"], strict=True):
+            own, value = decoded(part, payload)
+            if part == "head":
+                self.head.update(value)
+            elif part == "due":
+                due.append(value)
+            else:
+                self.states[part].updateValue(own, value)
+        if due:
+            self.states["due"].appendList(due)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
-        kept = self.memory.get() if self.memory.exists() else None
-        memory = pickle.loads(kept[0]) if kept is not None else EntityMemory()
+        kept = self.head.get()
+        head = None if kept is None else Head(*[list(v) if isinstance(v, list) else v for v in kept])
+        memory = EntityMemory(head, self.states)
         out = [r for r in (self._one(memory, e) for e in _records(batch)) if r is not None]
-        self.memory.update((pickle.dumps(memory),))
+        memory.flush()
+        self.head.update(tuple(getattr(memory.head, name) for name in HEAD_FIELDS))
         if out:
             yield pd.DataFrame(out, columns=RESULT_COLUMNS)
 
     def _one(self, memory: EntityMemory, e: dict) -> dict | None:
         began = time.perf_counter()
-        m, config = self.model, self.model.config
-        keep_us = max(*config.count_windows_s, *config.failed_windows_s) * 1_000_000
-        breadth_us = config.breadth_window_s * 1_000_000
-        if m.retention_hours > 0:
-            limit = int(m.retention_hours * 3600e6)
-            keep_us, breadth_us = min(keep_us, limit), min(breadth_us, limit)
-        late = memory.last_at is not None and (e["at"], e["event_id"]) < (memory.last_at, memory.last_id)
+        m, config, h = self.model, self.model.config, memory.head
+        late = h.last_at is not None and (e["at"], e["event_id"]) < (h.last_at, h.last_id)
         if late:
             if m.strict:
                 raise StreamOrderError(f"event {e['event_id']} is older than its entity's last event")
             known = {c: e[c] for c in ("event_id", "timestamp", "entity_id", "entity_type")}
             return dict.fromkeys(RESULT_COLUMNS) | known | {"late": True}
+        recent = self._recent(memory, e)
         if e["warm"]:
-            memory.commit(e, keep_us, breadth_us)
+            memory.commit(e)
             return None
-        features, source, confidence, values = self._features(memory, e)
+        features, source, confidence, values = self._features(memory, e, recent)
         x = [features[c] for c in FEATURES]
         rule = sum((features[c] - m.rule.mean[c]) / m.rule.std[c] for c in RULE_FEATURES)
         raw = float(m.forest.score(np.array([x]))[0]) if m.forest else 1.0 / (1.0 + math.exp(-rule / 6.0))
         now = _evidence(features, raw, rule, m)
         risk = config.risk
-        waited = 0 if memory.last_at is None else max(0, e["at"] - memory.last_at) / 1e6
-        decayed = memory.evidence * 0.5 ** (waited / risk.halflife_seconds) if risk.halflife_seconds > 0 else 0.0
+        waited = 0 if h.last_at is None else max(0, e["at"] - h.last_at) / 1e6
+        decayed = h.evidence * 0.5 ** (waited / risk.halflife_seconds) if risk.halflife_seconds > 0 else 0.0
         score = 100.0 * (1.0 - math.exp(-max(0.0, now + risk.persistence_weight * decayed) / risk.evidence_scale))
-        memory.evidence = min(decayed + now, risk.state_cap)
+        h.evidence = min(decayed + now, risk.state_cap)
         rank = next((i for i, s in enumerate(SEVERITIES, 1) if score <= SEVERITY_UPPER[s]), len(SEVERITIES))
         alerted = suppressed = False
         if rank >= SEVERITIES.index(risk.min_severity) + 1:
-            quiet = memory.alert_at is None or e["at"] - memory.alert_at >= risk.cooldown_seconds * 1e6
-            alerted = quiet or (risk.escalation_bypasses_cooldown and rank > memory.alert_rank)
+            quiet = h.alert_at is None or e["at"] - h.alert_at >= risk.cooldown_seconds * 1e6
+            alerted = quiet or (risk.escalation_bypasses_cooldown and rank > h.alert_rank)
             suppressed = not alerted
         if alerted:
-            memory.alert_at, memory.alert_rank = e["at"], rank
+            h.alert_at, h.alert_rank = e["at"], rank
         updated = m.adapt and score < config.baseline_update_max_risk
         if updated:
-            absorb(memory, e, values, config)
-        memory.commit(e, keep_us, breadth_us)
+            absorb(memory, e, values, config, m.profile_ttl_hours > 0)
+        memory.commit(e)
         return features | {
             "event_id": e["event_id"],
             "timestamp": e["timestamp"],
@@ -237,7 +268,7 @@ class EntityScorer(StatefulProcessor):
             "anomaly_score_raw": raw,
             "baseline_rule": rule,
             "decayed_state": decayed,
-            "entity_evidence_state": memory.evidence,
+            "entity_evidence_state": h.evidence,
             "risk_score": score,
             "alerted": alerted,
             "alert_suppressed": suppressed,
@@ -248,12 +279,25 @@ class EntityScorer(StatefulProcessor):
             "latency_ms": (time.perf_counter() - began) * 1000.0,
         }
 
-    def _features(self, memory: EntityMemory, e: dict):
+    def _recent(self, memory: EntityMemory, e: dict) -> list[float]:
+        """Events and failures in their windows, distinct resources; forgets what no window reaches."""
         config = self.model.config
+        keep_us = max(*config.count_windows_s, *config.failed_windows_s) * 1_000_000
+        breadth_us = config.breadth_window_s * 1_000_000
+        if self.model.retention_hours > 0:
+            limit = int(self.model.retention_hours * 3600e6)
+            keep_us, breadth_us = min(keep_us, limit), min(breadth_us, limit)
+        widths = [w * 1_000_000 for w in (*config.count_windows_s, *config.failed_windows_s)]
+        a, b, c, d = memory.counted(e["at"], widths, keep_us)
+        breadth = memory.breadth(e["at"], config.breadth_window_s * 1_000_000, breadth_us)
+        return [float(v) for v in (a[0], b[0], c[1], d[1], breadth)]
+
+    def _features(self, memory: EntityMemory, e: dict, recent: list[float]):
+        config, h = self.model.config, memory.head
         s, minimum = config.smoothing, config.min_events_for_personal
-        previous = memory.last_at is not None
-        before = memory.resource if previous else None
-        view = AdaptiveView(memory.learned, e, config)
+        previous = h.last_at is not None
+        before = h.resource if previous else None
+        view = AdaptiveView(memory, e, config)
         # Which profile judges this event, and how far it can be trusted.
         if self.model.adapt:
             personal = view.n_events() if view.exists() else None
@@ -280,10 +324,8 @@ class EntityScorer(StatefulProcessor):
         arrived = look.transition(before)
         rar = lambda k: -math.log(((found[k] or 0) + s) / (n + s * (look.keys(k) + 1)))
         probability = ((arrived or 0) + s) / (total + s * (look.keys("transition") + 1))
-        a, b = (memory.counted(e["at"], w * 1_000_000) for w in config.count_windows_s)
-        c, d = (memory.counted(e["at"], w * 1_000_000) for w in config.failed_windows_s)
-        gap = (e["at"] - memory.last_at) / 1e6 if previous else 0.0
-        moved = _km(memory.latitude, memory.longitude, e["latitude"], e["longitude"]) if previous else 0.0
+        gap = (e["at"] - h.last_at) / 1e6 if previous else 0.0
+        moved = _km(h.latitude, h.longitude, e["latitude"], e["longitude"]) if previous else 0.0
         if gap > 0:
             speed = min(config.velocity_cap_kmh, moved * 3600.0 / gap)
         else:
@@ -294,10 +336,10 @@ class EntityScorer(StatefulProcessor):
             "day_of_week": float(e["weekday"]),
             "is_weekend": float(e["weekday"] >= 5),
             "inter_event_gap_s": gap,
-            "event_count_5m": float(a[0]),
-            "event_count_60m": float(b[0]),
-            "failed_auth_5m": float(c[1]),
-            "failed_auth_30m": float(d[1]),
+            "event_count_5m": recent[0],
+            "event_count_60m": recent[1],
+            "failed_auth_5m": recent[2],
+            "failed_auth_30m": recent[3],
             "login_hour_rarity": rar("hour"),
             "is_entity_off_hours": float(not found["hour"]),
             "location_rarity": rar("location"),
@@ -309,11 +351,11 @@ class EntityScorer(StatefulProcessor):
             "geo_velocity_kmh": speed,
             "is_known_device": float(found["device"] is not None),
             "device_rarity": rar("device"),
-            "fingerprint_changed": float(previous and memory.fp != e["v_device"]),
+            "fingerprint_changed": float(previous and h.fp != e["v_device"]),
             "is_known_resource": float(found["resource"] is not None),
             "resource_rarity": rar("resource"),
             "resource_sensitivity": e["sensitivity"],
-            "recent_resource_breadth_24h": float(memory.breadth(e["at"], config.breadth_window_s * 1_000_000)),
+            "recent_resource_breadth_24h": recent[4],
             "auth_method_rarity": rar("auth"),
             "auth_failure_deviation": float(not e["auth_success"]) - look.moment("auth_failure_rate"),
             "session_duration_zscore": z("duration", e["session_duration_s"]),
@@ -446,14 +488,19 @@ def _records(batch: pd.DataFrame) -> Iterator[dict]:
             table = e[f"{s}_arrivals"]
             e[f"{s}_arrivals"] = dict(table) if table is not None else None
         e["seed_arrivals"] = e[f"{side}_arrivals"]
+        e["seed_levels"] = e[f"{side}_levels"]
         yield e
 
 
-def score_stream(prepared: DataFrame, model: LiveModel) -> DataFrame:
-    """Stateful half: one result row per event, plus flagged late events."""
+def score_stream(prepared: DataFrame, model: LiveModel, initial: DataFrame | None = None) -> DataFrame:
+    """Stateful half: one result row per event, plus flagged late events.
+
+    ``initial`` has rows of state (entity_id, part, payload) that a new run starts from.
+    """
     return prepared.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=EntityScorer(model),
         outputStructType=RESULT_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime" if model.profile_ttl_hours > 0 else "None",
+        initialState=None if initial is None else initial.select("entity_id", "part", "payload").groupBy("entity_id"),
     )
