@@ -923,6 +923,48 @@ def _(p):
     return rows.select("event_id", "inter_event_gap_s", "recent_resource_breadth_24h", "geo_distance_from_previous_km")
 
 
+@query("s05_started_from_history")
+def _(p):
+    """The same without the training events in the stream: their state is what the run starts from."""
+    late = drift.replayed(p.events, p.cutoff).select(*OBSERVATION_SCHEMA.fieldNames())
+    early = p.events.where(scoring.micros(F.col("timestamp")) <= p.cutoff)
+    path = _folder(p, "late")
+    late.write.mode("overwrite").parquet(path)
+    rows = replay.replay_table(
+        p.spark,
+        path,
+        p.profiles,
+        _live_model(p, adapt=False),
+        sensitivity=sensitivity_by_name(),
+        initial=replay.history_state(early, p.config),
+    )
+    return rows.select(
+        "event_id", "event_count_60m", "failed_auth_30m", "inter_event_gap_s", "recent_resource_breadth_24h", "geo_distance_from_previous_km"
+    )
+
+
+@query("s05_started_from_state", 4)
+def _(p):
+    """A run that starts from the scored state of the training events' run goes on as one run over all would."""
+    late = drift.replayed(p.events, p.cutoff).select(*OBSERVATION_SCHEMA.fieldNames())
+    early = p.events.where(scoring.micros(F.col("timestamp")) <= p.cutoff).select(*OBSERVATION_SCHEMA.fieldNames())
+    model, root = _live_model(p, adapt=False), f"{_folder(p, 'parts')}-{stages.uuid.uuid4().hex}"
+    runs = {}
+    for name, rows in (("early", early), ("late", late)):
+        rows.write.parquet(f"{root}/{name}")
+        initial = replay.stored_state(p.spark, f"{root}/run-early") if runs else None
+        runs[name] = replay.replay_table(
+            p.spark,
+            f"{root}/{name}",
+            p.profiles,
+            model,
+            sensitivity=sensitivity_by_name(),
+            root=f"{root}/run-{name}",
+            initial=initial,
+        )
+    return runs["late"].select("event_id", "risk_score", F.col("entity_evidence_state").alias("state"), F.col("alerted").cast("bigint").alias("alerted"))
+
+
 @query("s06_state_isolation", 4)
 def _(p):
     """A second run on a fresh checkpoint starts from the same seeds."""
@@ -947,6 +989,21 @@ def _(p):
     return part.join(raised, "event_id", "left").fillna(0, ["alerted"])
 
 
+@query("s08_replay_batches")
+def _(p):
+    """Three batches of one run: 250 events, 100 events, then as many as are left and more."""
+    root = f"{_folder(p, 'batches')}-{stages.uuid.uuid4().hex}"
+    model = _live_model(p, adapt=False)
+    n = p.events.count()
+    outcomes = None
+    for step, size in enumerate((250, 100, n, 10), 1):
+        row = replay.replay_batch(p.events, p.profiles, model, root, size, sensitivity=sensitivity_by_name())
+        timed = (F.col("mean_latency_ms") > 0).alias("timed")
+        row = row.select(F.lit(step).alias("step"), "success", "processed", "cursor", "total_events", "alerts_raised", timed, "error")
+        outcomes = row if outcomes is None else outcomes.unionByName(row)
+    return outcomes
+
+
 @query("s09_latency_stats")
 def _(p):
     """The statistics over a latency column (here: the session time in ms)."""
@@ -966,16 +1023,16 @@ def _(p):
 
 @query("s12_tumbling_alerts")
 def _(p):
-    """Six-hour counts per severity as a streaming aggregation."""
-    path = _folder(p, "severity")
-    tables.write_table(p.given_risk.select("timestamp", F.col("risk_severity").alias("severity")), path)
+    """Six-hour counts per severity, appended to a table by a stream that a far later event closes."""
     schema = "timestamp timestamp, severity string"
-    stream = p.spark.readStream.schema(schema).parquet(path).withWatermark("timestamp", "1 hour")
-    name = f"tumbling_{abs(hash(p.folder))}"
-    writer = analyst.alert_timeline(stream).writeStream.outputMode("complete").format("memory").queryName(name)
-    run = writer.option("checkpointLocation", f"{_folder(p, 'tumbling')}-{stages.uuid.uuid4().hex}").trigger(availableNow=True)
-    run.start().awaitTermination()
-    return p.spark.table(name)
+    root = f"{_folder(p, 'tumbling')}-{stages.uuid.uuid4().hex}"
+    tables.write_table(p.given_risk.select("timestamp", F.col("risk_severity").alias("severity")), f"{root}/in")
+    end = p.given_risk.agg((F.max("timestamp") + F.expr("interval 2 days")).alias("timestamp"), F.lit(None).cast("string").alias("severity"))
+    end.write.mode("append").parquet(f"{root}/in")
+    out = None
+    for _ in range(2):  # the second run finds nothing new and adds nothing
+        out = replay.timeline_table(p.spark, f"{root}/in", analyst.alert_timeline, schema, root, "1 hour")
+    return out
 
 
 @query("s13_run_counters")

@@ -864,6 +864,17 @@ check(
     "features",
     f"SELECT event_id, {r('inter_event_gap_s', 'recent_resource_breadth_24h', 'geo_distance_from_previous_km')} FROM features WHERE split = 'evaluation'",
 )
+check(
+    "s05_started_from_history",
+    "features",
+    f"""SELECT event_id, {r("event_count_60m", "failed_auth_30m", "inter_event_gap_s", "recent_resource_breadth_24h", "geo_distance_from_previous_km")}
+FROM features WHERE split = 'evaluation'""",
+)
+check(
+    "s05_started_from_state",
+    "risk fold_crit",
+    f"""SELECT event_id, {r("risk_score", "state", digits=4)}, ({_OPEN})::BIGINT AS alerted FROM risk WHERE split = 'evaluation'""",
+)
 check("s06_state_isolation", "ae", "SELECT entity_id, count(*) AS n, count(*) AS n_equal FROM ae GROUP BY 1")
 check("s07_replay_first", "ae", "SELECT event_id, entity_id FROM (SELECT * FROM ae ORDER BY us, event_id LIMIT 500)")
 check(
@@ -871,6 +882,20 @@ check(
     "ae fold_crit",
     f"""SELECT event_id, ({_OPEN})::BIGINT AS alerted FROM (SELECT event_id, row_number() OVER (ORDER BY us, event_id) AS rn FROM ae) WHERE rn BETWEEN 251 AND 350""",
 )
+cte(
+    "numbered",
+    "ae fold_crit",
+    f"SELECT ({_OPEN})::BIGINT AS opened, row_number() OVER (ORDER BY us, event_id) AS rn, count(*) OVER () AS n FROM ae",
+)
+check(
+    "s08_replay_batches",
+    "numbered",
+    """SELECT step::BIGINT AS step, 1::BIGINT AS success, (high - low)::BIGINT AS processed, high::BIGINT AS cursor, n AS total_events,
+(SELECT coalesce(sum(opened), 0) FROM numbered WHERE rn > low AND rn <= high)::BIGINT AS alerts_raised,
+CASE WHEN high > low THEN 1::BIGINT END AS timed, NULL::VARCHAR AS error FROM (
+SELECT step, least(low, n) AS low, least(high, n) AS high, n FROM (SELECT DISTINCT n FROM numbered),
+(VALUES (1, 0, 250), (2, 250, 350), (3, 350, 9223372036854775807), (4, 9223372036854775807, 9223372036854775807)) v(step, low, high))""",
+)
 check(
     "s09_latency_stats",
     "ae",

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Config
 from ..contracts import OBSERVATION_SCHEMA
 from ..functions.scoring import micros
 from ..operators import risk as risk_plan
 from ..operators.detectors import display_score
-from ..operators.profiles import Profiles
+from ..operators.profiles import KINDS, Profiles, fingerprint
 from ..operators.ranking import exact_quantiles, first_k_many
 from ..sources import stages
 from .scorer import LiveModel, prepare, score_stream
+from .state import BLOCK, MAPS, MOMENTS
 
+#: Files a trigger reads at most, which bounds what one task holds of an entity.
+FILES = 64
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -81,6 +87,27 @@ def flatten(explained: DataFrame, classes: DataFrame | None = None) -> DataFrame
     )
 
 
+def _scored_to_end(
+    spark: SparkSession, path: str, profiles: Profiles, model: LiveModel, root: str, sensitivity, schema, max_files: int, watermark, initial
+):
+    """Run the live operator over all files below ``path`` that ``root``'s checkpoint has not seen."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    if watermark:
+        events = events.withWatermark("timestamp", watermark)
+    with rocksdb_state(spark):
+        results = score_stream(prepare(events, profiles, sensitivity), model, initial)
+        query = (
+            results.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{root}/results")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return query, spark.read.schema(results.schema).parquet(f"{root}/results")
+
+
 def replay_table(
     spark: SparkSession,
     path: str,
@@ -89,35 +116,180 @@ def replay_table(
     *,
     sensitivity: Column | None = None,
     schema=OBSERVATION_SCHEMA,
-    max_files: int | None = None,
+    max_files: int = FILES,
     watermark: str | None = None,
     root: str | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Feed a stored table through the live operator until it is used up.
 
     ``root`` holds checkpoint and sink; the checkpoint's offset is the cursor, so
     a replay given the same ``root`` goes on where the last one stopped, with its
-    state. Returns the sink table with scored and late rows.
+    state. ``initial`` (``history_state`` or ``stored_state``) is what a run without a
+    checkpoint starts from. Returns the sink table with scored and late rows.
     """
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    events = reader.parquet(path)
-    if watermark:
-        events = events.withWatermark("timestamp", watermark)
     root = root or f"{stages.stage_root(spark)}/replay-{uuid.uuid4().hex}"
+    return _scored_to_end(spark, path, profiles, model, root, sensitivity, schema, max_files, watermark, initial)[1]
+
+
+def stored_state(spark: SparkSession, root: str) -> DataFrame:
+    """Everything the replay in ``root`` remembers, as rows (entity_id, part, payload) to start another one from."""
+
+    def read(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(f"{root}/checkpoint")
+
+    entity = F.col("key.entity_id").alias("entity_id")
     with rocksdb_state(spark):
-        results = score_stream(prepare(events, profiles, sensitivity), model)
-        query = (
-            results.writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{root}/results")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
+        rows = read("head").select(entity, F.lit("head").alias("part"), F.to_json("value").alias("payload"))
+        due = read("due")
+        rows = rows.unionByName(due.select(entity, F.lit("due").alias("part"), F.to_json(due.columns[1]).alias("payload")))
+        for name in MAPS:
+            part = read(name)
+            expiring = "ttlExpirationMs" in part.schema["user_map_value"].dataType.fieldNames()
+            value = "user_map_value.value.*" if expiring else "user_map_value.*"
+            payload = F.to_json(F.struct("user_map_key.*", value))
+            rows = rows.unionByName(part.select(entity, F.lit(name).alias("part"), payload.alias("payload")))
+        return stages.save(rows)
+
+
+def history_state(events: DataFrame, config: Config = DEFAULTS, retention_hours: float = 0.0) -> DataFrame:
+    """The state that unscored history leaves, as rows (entity_id, part, payload).
+
+    Only what a window still reaches from an entity's last event is numbered; the rest of the history is
+    read once for that last event. Evidence, alerts and learned profiles start empty.
+    """
+    keep_us = max(*config.count_windows_s, *config.failed_windows_s) * 1_000_000
+    breadth_us = config.breadth_window_s * 1_000_000
+    if retention_hours > 0:
+        keep_us, breadth_us = (min(w, int(retention_hours * 3600e6)) for w in (keep_us, breadth_us))
+    rows = events.select(
+        "entity_id",
+        "event_id",
+        micros(F.col("timestamp")).alias("at"),
+        "resource_accessed",
+        (~F.col("auth_success")).cast("bigint").alias("failed"),
+        "latitude",
+        "longitude",
+        fingerprint().alias("fp"),
+    )
+    order = F.struct("at", "event_id")
+    last = rows.groupBy("entity_id").agg(F.max_by(F.struct("at", "event_id", "latitude", "longitude", "fp", "resource_accessed"), order).alias("last"))
+    near = rows.join(last, "entity_id").withColumn("age", F.col("last.at") - F.col("at"))
+    near = stages.save(near.where(F.col("age") <= max(keep_us, breadth_us)))
+    in_order = Window.partitionBy("entity_id").orderBy("at", "event_id")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def numbered(width: int) -> DataFrame:
+        return near.where(F.col("age") <= width).withColumn("seq", F.row_number().over(in_order) - 1)
+
+    def blocks(part: str, rows: DataFrame, column: str, names: tuple[str, str]) -> DataFrame:
+        held = rows.groupBy("entity_id", F.floor(F.col("seq") / BLOCK).alias("block"))
+        entry = F.sort_array(F.collect_list(F.struct("seq", "at", column))).alias("of")
+        held = held.agg(entry)  # at most BLOCK rows each
+        payload = F.struct("block", F.col("of.at").alias(names[0]), F.col(f"of.{column}").alias(names[1]))
+        return held.select("entity_id", F.lit(part).alias("part"), F.to_json(payload).alias("payload"))
+
+    window = numbered(keep_us).withColumn("failures", F.coalesce(F.sum("failed").over(before), F.lit(0)))
+    sights = numbered(breadth_us)
+    recent = sights.groupBy("entity_id", "resource_accessed").agg(F.max("seq").alias("seq"))
+    counts = window.groupBy("entity_id").agg(F.count(F.lit(1)).alias("events"), F.sum("failed").alias("failures"))
+    seen = recent.groupBy("entity_id").agg((F.max("seq") + 1).alias("seen"), F.count(F.lit(1)).alias("distinct"))
+    zeros = lambda n, of: F.array(*[F.lit(of)] * n)
+    head = last.join(counts, "entity_id").join(seen, "entity_id")
+    head = head.select(
+        "entity_id",
+        F.lit("head").alias("part"),
+        F.to_json(
+            F.struct(
+                F.col("last.at").alias("last_at"),
+                F.col("last.event_id").alias("last_id"),
+                *[F.col(f"last.{c}").alias(c) for c in ("latitude", "longitude", "fp")],
+                F.col("last.resource_accessed").alias("resource"),
+                F.lit(0.0).alias("evidence"),
+                F.lit(0).alias("alert_rank"),
+                "events",
+                "failures",
+                zeros(4, 0).alias("pointers"),
+                "seen",
+                F.lit(0).alias("seen_first"),
+                "distinct",
+                F.lit(0.0).alias("n"),
+                F.lit(0.0).alias("total"),
+                zeros(len(MOMENTS), 0.0).alias("moments"),
+                zeros(len(KINDS), 0).alias("learned_keys"),
+                zeros(len(KINDS), 0).alias("taken_keys"),
+            )
+        ).alias("payload"),
+    )
+    places = recent.select("entity_id", F.lit("recent").alias("part"), F.to_json(F.struct(F.col("resource_accessed").alias("resource"), "seq")).alias("payload"))
+    parts = [blocks("window", window, "failures", ("ats", "failures")), blocks("sights", sights, "resource_accessed", ("ats", "resources")), places]
+    for part in parts:
+        head = head.unionByName(part)
+    return stages.save(head)
+
+
+OUTCOME = "success boolean, processed bigint, cursor bigint, total_events bigint, alerts_raised bigint, mean_latency_ms double, error string"
+
+
+def replay_batch(
+    events: DataFrame,
+    profiles: Profiles,
+    model: LiveModel,
+    root: str,
+    size: int,
+    *,
+    sensitivity: Column | None = None,
+    max_files: int = FILES,
+) -> DataFrame:
+    """Score the next ``size`` events in (time, id) order; one row of ``OUTCOME``.
+
+    The cursor is the number of rows that the runs in ``root`` have committed to their sink, at most all
+    events, so it holds across restarts, and a slice that was written but not scored is taken up again.
+    """
+    spark = events.sparkSession
+    total = events.count()
+
+    def outcome(success, processed, cursor, alerts, latency, error) -> DataFrame:
+        return spark.createDataFrame([(success, processed, cursor, total, alerts, latency, error)], OUTCOME)
+
+    if total == 0:
+        return outcome(False, 0, 0, 0, None, "there are no events to replay")
+    try:
+        done = spark.read.parquet(f"{root}/results").select("event_id")
+        start = done.count()
+    except AnalysisException:  # the first batch: no sink yet
+        start = 0
+    if start >= total:
+        return outcome(True, 0, total, 0, None, None)
+    size = min(max(1, size), total - start)
+    part = cursor_slice(events, start, size).select(*OBSERVATION_SCHEMA.fieldNames())
+    # a slice left by a run that failed is complete or not visible at all
+    part.write.mode("ignore").parquet(f"{root}/feed/from={start}")
+    fed = spark.read.schema(OBSERVATION_SCHEMA).parquet(f"{root}/feed/from={start}").select("event_id")
+    try:
+        query, results = _scored_to_end(
+            spark, f"{root}/feed/*", profiles, model, root, sensitivity, OBSERVATION_SCHEMA, max_files, None, None
         )
-        query.awaitTermination()
-    return spark.read.schema(results.schema).parquet(f"{root}/results")
+    except StreamingQueryException as failure:
+        return outcome(False, 0, start, 0, None, str(failure))
+    processed = sum(p["numInputRows"] for p in query.recentProgress)
+    here = results.join(fed, "event_id", "left_semi").agg(F.count_if("alerted").alias("alerts"), F.avg("latency_ms").alias("latency")).first()
+    return outcome(True, processed, start + size, here.alerts, here.latency, None)
+
+
+def timeline_table(
+    spark: SparkSession, path: str, grouped: Callable[[DataFrame], DataFrame], schema: str, root: str, watermark: str
+) -> DataFrame:
+    """A windowed aggregation of the stored stream ``path`` as a table that only grows.
+
+    A window is appended once, when the watermark has passed its end; the sink's log is kept by batch, so a
+    restart adds nothing twice. Windows that are still open are not in the table.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    rows = grouped(stream.withWatermark("timestamp", watermark))
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/table")
+    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/table")
 
 
 def late_events(results: DataFrame) -> DataFrame:
@@ -172,18 +344,13 @@ def what_if(
 ) -> DataFrame:
     """Score only the injected events, after their entities' stored history.
 
-    The history warms the state up and is not scored. Both parts are one stored
-    table that the live operator reads to its end.
+    The history becomes the state that the run starts from (``history_state``); it is not scored.
     """
-    columns = OBSERVATION_SCHEMA.fieldNames()
-    past = history_of(events, injected).select(*columns, F.lit(True).alias("warm"))
-    fresh = injected.select(*columns, F.lit(False).alias("warm"))
-    rows = past.unionByName(fresh)
-    path = f"{stages.stage_root(events.sparkSession)}/what-if-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    results = replay_table(
-        events.sparkSession, path, profiles, model, sensitivity=sensitivity, schema=rows.schema
-    )
+    spark = events.sparkSession
+    path = f"{stages.stage_root(spark)}/what-if-{uuid.uuid4().hex}"
+    injected.select(*OBSERVATION_SCHEMA.fieldNames()).write.parquet(path)
+    past = history_state(history_of(events, injected), model.config, model.retention_hours)
+    results = replay_table(spark, path, profiles, model, sensitivity=sensitivity, initial=past)
     return explain_live(results, model)
 
 

@@ -1,5 +1,5 @@
-
-
+import math
+from dataclasses import replace
 
 import brute
 import pytest
@@ -69,8 +69,6 @@ def test_adaptive_profiles_agree_with_the_closed_form(spark, pipeline, source):
         spread = max(moments["duration_m2"] ** 0.5, 1.0)
         z = (last["session_duration_s"] - moments["duration_mean"]) / spread
         assert row.session_duration_zscore == pytest.approx(z, rel=1e-6, abs=1e-6)
-        import math
-
         k = round(table.get(last["resource_accessed"], 0.0))
         rarity = -math.log((k + 1) / (round(n) + len(table) + 1))
         assert row.resource_rarity == pytest.approx(rarity, rel=1e-9)
@@ -109,3 +107,101 @@ def test_what_if_scores_only_the_injected(spark, pipeline, make_events):
     assert len(out) == 5
     rows = sorted(out, key=lambda r: r.event_id)
     assert rows[-1].risk_score > rows[0].risk_score
+
+
+def in_order(rows, path, n=2):
+    """Write ``rows`` as ``n`` files, earlier events in earlier files, since a trigger reads the oldest file first."""
+    rows = rows.select(*OBSERVATION_SCHEMA.fieldNames())
+    cuts = [int(c) for c in rows.select(F.unix_micros("timestamp").alias("us")).approxQuantile("us", [(i + 1) / n for i in range(n)], 0.0)]
+    for low, high in zip([0, *cuts[:-1]], cuts):
+        some = rows.where(f"unix_micros(timestamp) > {low} and unix_micros(timestamp) <= {high}")
+        some.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def halves(spark, pipeline, root, model_of):
+    """A run over all events and one in two parts, the second of which starts from the first one's state."""
+    late = F.unix_micros("timestamp") > pipeline.cutoff
+    for name, rows in (("early", pipeline.events.where(~late)), ("late", pipeline.events.where(late)), ("all", pipeline.events)):
+        in_order(rows, f"{root}/{name}")
+    run = lambda name, **options: replay.replay_table(
+        spark, f"{root}/{name}", pipeline.profiles, model_of, sensitivity=sensitivity_by_name(), max_files=1, root=f"{root}/run-{name}", **options
+    )
+    run("early")
+    second = run("late", initial=replay.stored_state(spark, f"{root}/run-early"))
+    return second, run("all")
+
+
+def same_results(some, whole):
+    rows = {r.event_id: r for r in whole.collect()}
+    names = [c for c in some.columns if c not in ("timestamp", "latency_ms")]
+    for r in some.collect():
+        for c in names:
+            want = rows[r.event_id][c]
+            assert r[c] == (pytest.approx(want, rel=1e-9, abs=1e-9) if isinstance(want, float) else want), (r.event_id, c)
+
+
+@pytest.mark.parametrize("adapt", [False, True])
+def test_a_run_started_from_state_equals_one_run_over_all(spark, pipeline, tmp_path, adapt):
+    second, whole = halves(spark, pipeline, str(tmp_path), model(pipeline, adapt=adapt))
+    assert second.count() == pipeline.events.where(F.unix_micros("timestamp") > pipeline.cutoff).count()
+    same_results(second, whole)
+
+
+def test_unscored_history_gives_the_windows_of_a_warm_run(spark, pipeline, tmp_path):
+    columns = OBSERVATION_SCHEMA.fieldNames()
+    late = F.unix_micros("timestamp") > pipeline.cutoff
+    frozen = model(pipeline, adapt=False)
+    pipeline.events.where(late).select(*columns).write.parquet(f"{tmp_path}/late")
+    state = replay.history_state(pipeline.events.where(~late))
+    started = replay.replay_table(spark, f"{tmp_path}/late", pipeline.profiles, frozen, sensitivity=sensitivity_by_name(), initial=state)
+    flagged = pipeline.events.select(*columns, (~late).alias("warm"))
+    flagged.write.parquet(f"{tmp_path}/flagged")
+    warm = replay.replay_table(
+        spark, f"{tmp_path}/flagged", pipeline.profiles, frozen, sensitivity=sensitivity_by_name(), schema=flagged.schema
+    )
+    assert started.count() == warm.count() > 0
+    same_results(started, warm)
+
+
+def test_a_burst_of_failures_costs_the_same_per_event(spark, pipeline, make_events, tmp_path):
+    """20,000 failures within the windows of one entity, read in two triggers."""
+    path = str(tmp_path / "burst")
+    for k in range(2):
+        rows = [event(i, 10**5 * i, "ENT-BURST", auth_success=False) for i in range(10_000 * k, 10_000 * (k + 1))]
+        make_events(rows).select(*OBSERVATION_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
+    out = replay.replay_table(spark, path, pipeline.profiles, model(pipeline, adapt=False), max_files=1).orderBy("event_id").collect()
+    assert [out[i].failed_auth_5m for i in (0, 10, 5_000, 19_999)] == [0, 10, 3_000, 3_000]
+    assert [out[i].event_count_60m for i in (1, 15_000, 19_999)] == [1, 15_000, 19_999]
+    # the operator's own clock; a sum over the window at each event would take milliseconds
+    assert sorted(r.latency_ms for r in out)[len(out) // 2] < 0.2
+
+
+def test_learned_and_seeded_keys_fade_as_in_batch(spark, pipeline, tmp_path):
+    """With a half-life of an hour keys are forgotten within two days, many times over the events' span."""
+    quick = replace(DEFAULTS, ewma_halflife_days=1 / 24)
+    everything = model(pipeline, adapt=True)
+    everything = replace(everything, config=replace(quick, baseline_update_max_risk=1000.0, min_events_for_personal=0))
+    source = in_order(pipeline.events, f"{tmp_path}/in", 3)
+    out = replay.replay_table(spark, source, pipeline.profiles, everything, sensitivity=sensitivity_by_name(), max_files=1)
+    got = {r.event_id: r for r in out.collect()}
+    fitted = brute.by_entity([r.asDict() for r in profiles.fit_rows(pipeline.events, pipeline.cutoff).collect()])
+    groups = brute.by_entity([r.asDict() for r in pipeline.events.collect()])
+    checked = forgotten = 0
+    for entity, events in groups.items():
+        if entity not in fitted:
+            continue
+        seed = brute.frozen(fitted[entity])
+        for k in range(1, len(events), 3):
+            counts, _, n, total = brute.adaptive(events[:k], seed, 1 / 24)
+            if round(n) < DEFAULTS.min_events_for_personal:
+                continue
+            e, row = events[k], got[events[k]["event_id"]]
+            for kind, value, feature in (("resource", e["resource_accessed"], "resource_rarity"), ("auth", e["auth_method"], "auth_method_rarity")):
+                table = counts[kind]
+                known = round(table.get(value, 0.0))
+                want = -math.log((known + 1) / (round(n) + len(table) + 1))
+                assert row[feature] == pytest.approx(want, rel=1e-9)
+                forgotten += len(table) < len(set(seed["counts"][kind]) | {x["resource_accessed" if kind == "resource" else "auth_method"] for x in events[:k]})
+                checked += 1
+    assert checked > 30 and forgotten > 10
