@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +101,21 @@ def event_violations(df: DataFrame) -> DataFrame:
     return counts.crossJoin(out_of_order(df))  # one row each
 
 
+def event_faults(require_labels: bool = True) -> dict[str, Column]:
+    """Conditions that no row of an event table may fulfil."""
+    faults = {"null_event_ids": F.col("event_id").isNull(), "null_timestamps": F.col("timestamp").isNull()}
+    if require_labels:
+        faults["unknown_labels"] = ~F.coalesce(F.col("label"), F.lit("?")).isin(*LABELS)
+    return faults
+
+
+def require_order(df: DataFrame) -> DataFrame:
+    """Raise if ids and times of the events do not have the same order."""
+    if out_of_order(df).first()[0]:
+        raise ContractError("event table violates its contract: events are not in order of time")
+    return df
+
+
 def validate_events(df: DataFrame, *, require_labels: bool = True, strict_order: bool = False) -> DataFrame:
     """Return ``df`` if it satisfies the event contract, else raise."""
     check_columns(df, require_labels=require_labels)
@@ -126,6 +143,100 @@ def strip_labels(df: DataFrame, scope: str = "features") -> DataFrame:
     return df.drop(*[c for c in _SCOPES[scope] if c in df.columns])
 
 
+def _expressions(value) -> Iterable[list]:
+    """Expression trees (lists of nodes, root first) among the fields of a plan node."""
+    if isinstance(value, list):
+        if value and isinstance(value[0], dict) and "num-children" in value[0]:
+            yield value
+        else:
+            for item in value:
+                yield from _expressions(item)
+
+
+def _attribute(tree: list) -> int | None:
+    return tree[0]["exprId"]["id"] if "exprId" in tree[0] else None
+
+
+def lineage(df: DataFrame) -> dict[str, set[str]]:
+    """For each column, the names of the source columns it is computed from.
+
+    Follows expression ids through the analysed plan: projections, aggregates, windows, generators, unions
+    and Python operators, whose every result counts as computed from their whole input. Sources are the columns
+    of the tables and rows that the plan reads. What only filters or joins rows is not followed.
+    """
+    nodes = json.loads(df._jdf.queryExecution().analyzed().toJSON())
+    made_of: dict[int, set[int]] = defaultdict(set)
+    names: dict[int, str] = {}
+    at = 0
+
+    def visit() -> list[int]:
+        """Expression ids that the next plan node puts out, in order."""
+        nonlocal at
+        node = nodes[at]
+        at += 1
+        children = [visit() for _ in range(node["num-children"])]
+        kind = node["class"].rsplit(".", 1)[-1]
+        trees = {field: list(_expressions(value)) for field, value in node.items()}
+        for tree in (t for some in trees.values() for t in some):
+            own = _attribute(tree)
+            used = {e["exprId"]["id"] for e in tree if e["class"].endswith(".AttributeReference")}
+            if own is not None:
+                made_of[own] |= used - {own}
+        below = [i for child in children for i in child]
+        if not children:
+            out = trees.get("output") or []
+            names.update({_attribute(t): t[0]["name"] for t in out})
+            return [_attribute(t) for t in out]
+        if kind == "Project":
+            return [_attribute(t) for t in trees["projectList"]]
+        if kind == "Aggregate":
+            return [_attribute(t) for t in trees["aggregateExpressions"]]
+        if kind == "Window":
+            return below + [_attribute(t) for t in trees["windowExpressions"]]
+        if kind == "Generate":
+            used = {e["exprId"]["id"] for t in trees["generator"] for e in t if e["class"].endswith(".AttributeReference")}
+            made = [_attribute(t) for t in trees["generatorOutput"]]
+            for i in made:
+                made_of[i] |= used
+            return below + made
+        if kind == "Union":
+            for child in children[1:]:
+                for first, other in zip(children[0], child, strict=True):
+                    made_of[first].add(other)
+            return children[0]
+        if kind == "Expand" or ("output" in trees and trees["output"]):
+            made = [_attribute(t) for t in trees["output"]]
+            for i in made:
+                made_of[i] |= set(below) - {i}
+            return made
+        if kind == "Join" and node.get("joinType", {}).get("object", "").endswith(("LeftSemi$", "LeftAnti$")):
+            return children[0]
+        return below
+
+    def sources(i: int, seen: set[int]) -> set[str]:
+        found = {names[i]} if i in names else set()
+        for j in made_of[i] - seen:
+            seen.add(j)
+            found |= sources(j, seen)
+        return found
+
+    out = visit()
+    return {name: sources(i, {i}) for name, i in zip(df.columns, out, strict=True)}
+
+
+def guard_lineage(df: DataFrame, columns: Iterable[str], scope: str = "features") -> DataFrame:
+    """Fail if one of ``columns`` is computed from ground truth, by whatever name it goes."""
+    forbidden, of = set(_SCOPES[scope]), lineage(df)
+    offenders = {c: sorted(of[c] & forbidden) for c in columns if of[c] & forbidden}
+    if offenders:
+        raise LeakageError(f"{scope} inputs are computed from forbidden columns: {offenders}")
+    return df
+
+
+def finite_faults(columns: Iterable[str] = FEATURES) -> dict[str, Column]:
+    return {c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in columns}
+
+
 def non_finite_counts(features: DataFrame) -> DataFrame:
     """NaN, infinite or null values per model feature, in one pass, long form."""
     bad = [

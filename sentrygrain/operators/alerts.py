@@ -80,9 +80,12 @@ def _chain(pages: DataFrame, config: Config) -> DataFrame:
 
 
 def build_alerts(
-    scored: DataFrame, classes: DataFrame | None = None, config: Config = DEFAULTS
+    scored: DataFrame, classes: DataFrame | None = None, config: Config = DEFAULTS, checks: stages.Checks | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(alerts, one row with ``n_candidates``, ``n_alerts``, ``n_suppressed``)."""
+    """(alerts, one row with ``n_candidates``, ``n_alerts``, ``n_suppressed``).
+
+    With ``checks`` the write of the alerts refuses events with several predictions.
+    """
     pages = candidates(scored, config)
     opened = stages.save(emitted(pages, config))
     rows = scored.join(opened, "event_id", "left_semi")
@@ -108,19 +111,22 @@ def build_alerts(
         F.lit(0.0).alias("attack_confidence"),
     )
     if classes is not None:
-        alerts = enrich(alerts, classes)
+        alerts = enrich(alerts, classes, checks)
     counts = pages.agg(F.count(F.lit(1)).alias("n_candidates")).crossJoin(
         opened.agg(F.count(F.lit(1)).alias("n_alerts"))
     )  # one row each
     return alerts, counts.withColumn("n_suppressed", F.col("n_candidates") - F.col("n_alerts"))
 
 
-def enrich(alerts: DataFrame, classes: DataFrame) -> DataFrame:
+def enrich(alerts: DataFrame, classes: DataFrame, checks: stages.Checks | None = None) -> DataFrame:
     """Replace attack type and confidence where the event has a prediction."""
     named = classes.select(
         "event_id", F.col("predicted_label").alias("_label"), F.col("attack_confidence").alias("_confidence")
     )
-    joined = alerts.join(named, "event_id", "left")
+    if checks is None:
+        joined = alerts.join(named, "event_id", "left")
+    else:
+        joined = checks.join(alerts, named, ["event_id"], "alerts with their classes")
     joined = joined.withColumns(
         {
             "attack_type": F.coalesce("_label", "attack_type"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, FEATURES, LABEL_COLUMNS, SENSITIVITY, Config
-from ..contracts import guard_leakage
+from ..contracts import check_columns, event_faults, finite_faults, guard_leakage, guard_lineage, require_order
 from ..operators import alerts as alerting
 from ..operators import classifier, detectors, features, forest, prepare, profiles, risk
 from ..sources import access_events as source
@@ -38,8 +38,10 @@ class Pipeline:
 
     @cached_property
     def events(self) -> DataFrame:
-        given = self._given
-        return stages.save(source.access_events(self.spark, self.folder) if given is None else given)
+        given, checks = self._given, stages.Checks()
+        rows = check_columns(source.access_events(self.spark, self.folder) if given is None else given)
+        rows = checks.none(rows, "event table violates its contract", event_faults())
+        return require_order(stages.save(rows, checks=checks))
 
     @cached_property
     def campaigns(self) -> DataFrame:
@@ -60,11 +62,8 @@ class Pipeline:
         No feature reads it; carrying it saves a join of two event-sized tables.
         """
         guard_leakage(FEATURES)
-        return stages.save(
-            features.build_features(
-                self.events, self.profiles, sensitivity_by_name(), self.config, keep=LABEL_COLUMNS
-            )
-        )
+        rows = features.build_features(self.events, self.profiles, sensitivity_by_name(), self.config, keep=LABEL_COLUMNS)
+        return save_features(rows)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -184,9 +183,22 @@ class Pipeline:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return stages.save(alerting.build_alerts(self.risk, self.classifications, self.config)[0])
+        checks = stages.Checks()
+        return stages.save(alerting.build_alerts(self.risk, self.classifications, self.config, checks)[0], checks=checks)
+
+
+def save_features(rows: DataFrame) -> DataFrame:
+    """The feature stage: no feature comes from ground truth, each is a finite number, each event has a label."""
+    guard_lineage(rows, FEATURES)
+    checks = stages.Checks()
+    rows = checks.none(rows, "features hold NaN or infinite values", finite_faults())
+    rows = checks.none(rows, "feature rows without a label", {"label": F.col("label").isNull()})
+    return stages.save(rows, checks=checks)
 
 
-def labelled_features(feature_table: DataFrame, events: DataFrame) -> DataFrame:
+def labelled_features(feature_table: DataFrame, events: DataFrame, checks: stages.Checks | None = None) -> DataFrame:
     truth = events.select("event_id", "label", "is_attack", "campaign_id")
-    return feature_table.join(truth, "event_id", "left")
+    if checks is None:
+        return feature_table.join(truth, "event_id", "left")
+    rows = checks.join(feature_table, truth, ["event_id"], "features with their labels")
+    return checks.none(rows, "feature rows without a label", {"label": F.col("label").isNull()})
