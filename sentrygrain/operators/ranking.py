@@ -71,7 +71,8 @@ def _select(melted: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[in
             break
         share = F.lit(None).cast("double")
         for i, (_, low, high, _) in enumerate(open_):
-            part = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) if real else (v - F.lit(low)).cast("double") / F.lit(float(high - low))
+            wide = real and high - low == math.inf  # halves, so that the difference is finite
+            part = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) if wide else (v - F.lit(low)).cast("double") / F.lit(float(high - low))
             share = F.when(F.col("r") == i, part).otherwise(share)
         place = F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")
         binned = ranged(open_).groupBy("r", place).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))

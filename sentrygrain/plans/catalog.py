@@ -744,6 +744,34 @@ def _(p):
     return _one_row(p, rows, ("name", "low", "high"))
 
 
+@query("r16_chain_contributions")
+def _(p):
+    """Risk of the real chain, with forest scores: parts add up to the score of every event."""
+    parts = [F.col(f"{part}_contribution") for part in ("isolation_forest", "rule", "context", "persistence")]
+    total = sum(parts[1:], parts[0])
+    reasons = F.aggregate(F.transform("reasons", lambda r: r["contribution"]), F.lit(0.0), lambda a, b: a + b)
+    return p.risk.groupBy("entity_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(total - F.col("risk_score")) < 1e-6).alias("n_reconciled"),
+        F.count_if(F.col("risk_score").between(0.0, 100.0)).alias("n_in_range"),
+        F.count_if(reasons <= F.col("risk_score") + 1e-2).alias("n_reasons_within"),
+    )
+
+
+@query("r26_chain_alert_classes")
+def _(p):
+    """Alerts of the real chain: there are some, once an event, each with its event's score and predicted class."""
+    classes = p.classifications.select("event_id", "predicted_label", F.col("attack_confidence").alias("_confidence"))
+    scores = p.risk.select("event_id", F.col("risk_score").alias("_score"))
+    rows = p.alerts.join(classes, "event_id", "left").join(scores, "event_id", "left")
+    agrees = (F.col("attack_type") == F.col("predicted_label")) & (F.col("attack_confidence") == F.col("_confidence"))
+    agrees = agrees & (F.col("risk_score") == F.col("_score"))
+    n = F.count(F.lit(1))
+    return rows.agg(
+        (n > 0).alias("some"), (n == F.count_distinct("event_id")).alias("once"), (n == F.count_if(agrees)).alias("all_agree")
+    )
+
+
 # -- adaptive profiles ---------------------------------------------------------------------------
 def _gated(p: Pipeline) -> DataFrame:
     def build():
@@ -798,9 +826,7 @@ def _(p):
 @query("d07_seeding")
 def _(p):
     """Entities without enough benign training history clone their cohort."""
-    known = p.profiles.entity.where("n_events >= 45")
-    fewer = profiles.Profiles(known, p.profiles.cohort, None, None, p.cutoff)
-    seed = drift.seeds(_gated(p), fewer, p.config)
+    seed = drift.seeds(_gated(p), p.profiles, p.config)
     return seed.select("entity_id", "seeded_from", F.col("seed.key").alias("seed_key"), F.col("seed.n_events").alias("n_events"))
 
 
@@ -870,6 +896,26 @@ def _(p):
     return _flat(p, True).drop("latency_ms")
 
 
+@query("s01_live_models", 4)
+def _(p):
+    """Forest and classifier in the live run: how many events get what the batch chain gives them."""
+    model = LiveModel(p.rule, p.calibration, forest=p.forest, config=p.config, adapt=False)
+    live = replay.replay_table(p.spark, _stream_source(p), p.profiles, model, sensitivity=sensitivity_by_name())
+    classes = classifier.classify(p.classifier, live.where(~F.col("late")), ("event_id",))
+    flat = replay.flatten(replay.explain_live(live, model), classes)
+    batch = p.risk.select("event_id", F.col("risk_score").alias("_score"), F.col("risk_severity").alias("_severity"))
+    batch = batch.join(p.classifications.select("event_id", F.col("predicted_label").alias("_label"), F.col("attack_confidence").alias("_confidence")), "event_id")
+    batch = batch.join(p.alerts.select("event_id", F.lit(True).alias("_opened")), "event_id", "left")
+    both = flat.join(batch, "event_id")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
+    return both.groupBy("entity_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(near("risk_score", "_score") & (F.col("severity") == F.col("_severity"))).alias("n_same_risk"),
+        F.count_if((F.col("predicted_attack_type") == F.col("_label")) & near("attack_confidence", "_confidence")).alias("n_same_class"),
+        F.count_if(F.col("alerted") == F.coalesce("_opened", F.lit(False))).alias("n_same_alert"),
+    )
+
+
 @query("s02_late_events")
 def _(p):
     """Benign events come first; attacks delivered after them may be too late."""
@@ -1317,11 +1363,7 @@ def _(p):
 
 @query("q13_score_contributions", 3)
 def _(p):
-    mixed = _named_alerts(p).withColumn(
-        "top_contributors", F.when(F.col("severity") == "CRITICAL", F.col("top_contributors")).otherwise(F.array())
-    )
-    known = p.given_risk.where("risk_score < 72 or risk_severity = 'CRITICAL'")
-    return analyst.score_contributions(mixed, known)
+    return analyst.score_contributions(_named_alerts(p), p.given_risk)
 
 
 @query("q14_entity_ids")
