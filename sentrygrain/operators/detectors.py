@@ -60,8 +60,8 @@ def rule_score(rule: Scaler) -> Column:
 
 def random_score(seed: int = DEFAULTS.seed, key: str = "event_id") -> Column:
     """Uniform in [0, 1), the same for the same event and seed in any order."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+    digest = F.md5(F.concat(F.col(key), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def display_score(raw: Column, low: float, high: float) -> Column:

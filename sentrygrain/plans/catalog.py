@@ -115,10 +115,55 @@ def _(p):
     pairs.select("campaign_id", "attack_type", F.array("entity_id").alias("entity_ids"), "stealthy").write.mode(
         "overwrite"
     ).json(path)
-    read = p.spark.read.schema(documents.CAMPAIGN_SCHEMA).json(path)
+    read = documents.read_campaigns(p.spark, path, lines=True)
     return read.select("campaign_id", "attack_type", "stealthy", F.explode("entity_ids").alias("entity_id"))
 
 
+def _written(p: Pipeline, name: str, rows: DataFrame, document: Callable[[DataFrame], Column], key: str) -> str:
+    """``rows`` as JSON documents of about a thousand records, one a file."""
+    path, n = _folder(p, name), max(1, rows.count() // 1000)
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)))
+    texts = parts.groupBy("part").agg(document(F.struct(*rows.columns)).alias("value"))
+    texts.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+    return path
+
+
+@query("a02_campaign_list")
+def _(p):
+    pairs = source.campaign_entities(p.events).join(p.campaigns, "campaign_id")
+    rows = pairs.select("campaign_id", "attack_type", F.array("entity_id").alias("entity_ids"), "stealthy")
+    path = _written(p, "campaign-list", rows, lambda r: F.to_json(F.collect_list(r)), "entity_ids")
+    read = documents.read_campaigns(p.spark, path)
+    return read.select("campaign_id", "attack_type", "stealthy", F.explode("entity_ids").alias("entity_id"))
+
+
+def _roster_document(p: Pipeline, form: str) -> DataFrame:
+    rows = analyst.roster_from_events(p.events)
+    record = lambda r: F.struct(r["entity_type"].alias("entity_type"), F.lit("x").alias("note"))
+    documents_of = {
+        "wrapped": lambda r: F.to_json(F.struct(F.collect_list(r).alias("entities"))),
+        "list": lambda r: F.to_json(F.collect_list(r)),
+        "map": lambda r: F.to_json(F.map_from_entries(F.collect_list(F.struct(r["entity_id"], record(r))))),
+    }
+    path = _written(p, f"roster-{form}", rows, documents_of[form], "entity_id")
+    return documents.read_roster(p.spark, path).select(*analyst.ENTITY_COLUMNS)
+
+
+@query("a03_roster_wrapped")
+def _(p):
+    return _roster_document(p, "wrapped")
+
+
+@query("a03_roster_list")
+def _(p):
+    return _roster_document(p, "list")
+
+
+@query("a03_roster_map")
+def _(p):
+    return _roster_document(p, "map")
+
+
 @query("a03_roster")
 def _(p):
     return analyst.roster_from_events(p.events)

@@ -134,12 +134,14 @@ check(
     """SELECT DISTINCT campaign_id, label AS attack_type, stealthy::BIGINT AS stealthy, entity_id
 FROM ae WHERE campaign_id IS NOT NULL""",
 )
+ORACLE["a02_campaign_list"] = ORACLE["a02_campaign_document"]
 check(
     "a03_roster",
     "ae",
     """SELECT DISTINCT entity_id, entity_type, NULL::VARCHAR AS role, NULL::VARCHAR AS department,
 NULL::VARCHAR AS home_city, NULL::VARCHAR AS home_country FROM ae""",
 )
+ORACLE |= {f"a03_roster_{form}": ORACLE["a03_roster"] for form in ("wrapped", "list", "map")}
 check(
     "a04_normalise_events",
     "ae",
@@ -875,6 +877,11 @@ check(
     "risk fold_crit",
     f"""SELECT event_id, {r("risk_score", "state", digits=4)}, ({_OPEN})::BIGINT AS alerted FROM risk WHERE split = 'evaluation'""",
 )
+check(
+    "m09_random_baseline",
+    "ae",
+    f"SELECT event_id, {r('baseline_random')} FROM (SELECT event_id, ('0x' || md5(event_id || ':42')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS baseline_random FROM ae)",
+)
 check("s01_live_models", "ae", "SELECT entity_type, count(*) AS n, count(*) AS n_same_risk, count(*) AS n_same_class, count(*) AS n_same_alert FROM ae GROUP BY 1")
 check(
     "r16_chain_contributions",

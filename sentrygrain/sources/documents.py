@@ -11,43 +11,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Config
-from ..operators.analyst import normalise_entities, roster_from_events
+from ..operators.analyst import ENTITY_COLUMNS, normalise_entities, roster_from_events
 
 REASON_TYPE = "array<struct<code:string,contribution:double>>"
-CAMPAIGN_SCHEMA = "campaign_id string, attack_type string, entity_ids array<string>, stealthy boolean"
+CAMPAIGN_FIELDS = {"campaign_id": "string", "attack_type": "string", "entity_ids": "array<string>", "stealthy": "boolean"}
 
 
-def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of campaigns (or JSON lines), one row each."""
-    return spark.read.schema(CAMPAIGN_SCHEMA).option("multiLine", True).json(path)
+def _entries(rows: DataFrame, column: str) -> DataFrame:
+    """One row for each member of a list or object in a variant column: its ``pos``, ``key`` (null in a list) and ``value``."""
+    held = rows.select(F.col(column).alias("_held"))
+    return held.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_held").outer())).select("pos", "key", "value")
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Each file below ``path`` as one variant; text that is no JSON is null."""
+    return spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+
+
+def _fields(record: str, fields: dict[str, str]) -> list[Column]:
+    return [F.try_variant_get(record, f'$["{name}"]', kind).alias(name) for name, kind in fields.items()]
+
+
+def read_campaigns(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Campaigns, one row each, of files that hold a JSON list, or with ``lines`` one record a line."""
+    if lines:
+        records = spark.read.text(path).select(F.try_parse_json("value").alias("value"))
+    else:
+        records = _entries(_documents(spark, path), "doc")
+    rows = records.select(*_fields("value", CAMPAIGN_FIELDS))
+    return rows.where("campaign_id is not null")
 
 
 def read_roster(spark: SparkSession, path: str, events: DataFrame | None = None) -> DataFrame:
-    """Entities from ``{"entities": [..]}``, a list, or an id -> record map.
+    """Entities from ``{"entities": [..]}``, a list, or an id -> record map; files of one form each below ``path``.
 
-    A document without usable records falls back to the entities in ``events``.
+    Documents stay variants, so an id is never taken for a column, whatever their number. Fields beyond
+    the roster's contract are kept as JSON text; finding their names is one pass over the records.
+    Documents without usable records fall back to the entities in ``events``.
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    fields = {f.name: f.dataType for f in raw.schema}
-    if isinstance(fields.get("entities"), T.ArrayType):
-        rows = raw.select(F.inline("entities"))
-    elif "entity_id" in fields:
-        rows = raw
-    elif fields and "profile" not in fields and all(isinstance(t, T.StructType) for t in fields.values()):
-        # Ids are keys of the document, so read it as one map.
-        records = T.StructType()
-        for record in fields.values():
-            for field in record:
-                if field.name not in records.fieldNames():
-                    records.add(field.name, field.dataType)
-        text = spark.read.text(path, wholetext=True)
-        entries = F.from_json("value", T.MapType(T.StringType(), records))
-        rows = text.select(F.explode(entries).alias("entity_id", "_record")).select("entity_id", "_record.*")
+    top = _entries(_documents(spark, path), "doc")
+    kind = F.schema_of_variant("value")
+    found = top.agg(
+        F.bool_or((F.col("key") == "entities") & kind.startswith("ARRAY")).alias("wrapped"),
+        F.bool_or(F.col("key").isNull() & kind.startswith("OBJECT")).alias("listed"),
+        F.bool_or(F.col("key") == "profile").alias("described"),
+        F.bool_and(kind.startswith("OBJECT")).alias("records"),
+    ).first()
+    entity_id = F.try_variant_get("value", "$.entity_id", "string")
+    if found.wrapped:
+        records = _entries(top.where("key = 'entities'"), "value")
+    elif found.listed:
+        records = top.where("key is null")
+    elif found.records and not found.described:
+        records, entity_id = top, F.col("key")
     elif events is not None:
         return roster_from_events(events)
     else:
         raise ValueError(f"no entity records in {path}")
-    return normalise_entities(rows)
+    names = {r.key for r in _entries(records, "value").where("key is not null").select("key").distinct().collect()}  # field names
+    known = _fields("value", dict.fromkeys(ENTITY_COLUMNS[1:], "string"))
+    more = [F.to_json(F.try_variant_get("value", f'$["{name}"]', "variant")).alias(name) for name in sorted(names - set(ENTITY_COLUMNS))]
+    return normalise_entities(records.select(entity_id.alias("entity_id"), *known, *more).where("entity_id is not null"))
 
 
 def lists_to_json(df: DataFrame, *columns: str) -> DataFrame:

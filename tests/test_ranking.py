@@ -84,3 +84,11 @@ def test_cumulative_and_row_numbers(numbers, spark):
     values = sorted(v for _, v, _ in rows)
     assert got == {v: sum(x <= v for x in values) for v in set(values)}
     assert math.isclose(max(got.values()), len(rows))
+
+
+def test_selection_in_the_narrowest_ranges(spark):
+    """Ranges whose halves are equal, or as wide as doubles go, each on its own."""
+    for values in ([0.0, 5e-324], [1.0, 1.0000000000000002, 1.0], [-1.7e308, 1.7e308, 0.0], [5e-324, 1e-323, 0.0, -5e-324]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = ranking.kth_values(df, F.col("v"), list(range(1, len(values) + 1)))
+        assert got == dict(enumerate(sorted(values), 1))

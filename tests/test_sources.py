@@ -26,6 +26,24 @@ def test_roster_document_shapes(spark, tmp_path, shape):
     assert "devices" in got.columns
 
 
+def test_roster_of_many_ids_needs_no_columns_for_them(spark, tmp_path):
+    path = tmp_path / "roster.json"
+    path.write_text(json.dumps({f"ENT-{i}": {"entity_type": "user", "department": f"d{i % 7}"} for i in range(100_000)}))
+    got = documents.read_roster(spark, str(path))
+    assert got.columns == list(analyst.ENTITY_COLUMNS)
+    assert got.count() == got.select("entity_id").distinct().count() == 100_000
+    assert got.where("entity_id = 'ENT-99999'").first().department == "d4"
+
+
+def test_campaigns_as_list_and_as_lines(spark, tmp_path):
+    rows = [{"campaign_id": "C1", "attack_type": "X", "entity_ids": ["A", "B"], "stealthy": True}, {"campaign_id": "C2", "other": 1}]
+    (tmp_path / "list.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)) + "\nnot json\n")
+    want = [("C1", "X", ["A", "B"], True), ("C2", None, None, None)]
+    assert sorted(map(tuple, documents.read_campaigns(spark, str(tmp_path / "list.json")).collect())) == want
+    assert sorted(map(tuple, documents.read_campaigns(spark, str(tmp_path / "lines.json"), lines=True).collect())) == want
+
+
 def test_roster_falls_back_to_events(spark, make_events, tmp_path):
     path = tmp_path / "roster.json"
     path.write_text(json.dumps({"profile": "dev"}))
