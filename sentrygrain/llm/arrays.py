@@ -22,7 +22,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PRIME = 2**31 - 1
+_P = np.uint64(_PRIME)
+_PRIME_BASE = 1_386_574_093
+_PRIME_INVERSE = pow(_PRIME_BASE, -1, _PRIME)
 _POWERS: dict[int, np.ndarray] = {}
+_PRIME_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -38,6 +43,20 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
+    held = _PRIME_POWERS.get(base)
+    if held is None or len(held) < n:
+        size = max(n, PART_BYTES + 1)
+        held = np.ones(1, np.uint64)
+        while len(held) < size:
+            held = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % _P])
+        held = held[:size]
+        if size <= 2 * PART_BYTES:
+            _PRIME_POWERS[base] = held
+    return held[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(33))
@@ -56,9 +75,14 @@ class Spans:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * powers(_BASE, n), out=self.sums[1:])
         self.back = powers(_INVERSE, n + 1)
+        self.prime_sums = np.zeros(n + 1, np.uint64)  # below 2**64 for any text below 2**33 values
+        np.cumsum(values % _P * prime_powers(_PRIME_BASE, n) % _P, out=self.prime_sums[1:])
+        self.prime_back = prime_powers(_PRIME_INVERSE, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        wrapped = (self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64)
+        prime = (self.prime_sums[ends] - self.prime_sums[starts]) % _P * self.prime_back[starts] % _P
+        return mix(wrapped + mix(prime))
 
 
 def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
