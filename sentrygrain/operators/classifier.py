@@ -34,7 +34,8 @@ def fit_classifier(train: DataFrame, config: Config = DEFAULTS) -> RandomForestC
         minInstancesPerNode=config.classifier_min_leaf,
         seed=config.seed,
     )
-    return learner.fit(_with_vector(rows))
+    # a copy has no training summary, which would hold the session and with it what tasks cannot be sent
+    return learner.fit(_with_vector(rows)).copy()
 
 
 def classify(model: RandomForestClassificationModel, features: DataFrame, keep: tuple[str, ...]) -> DataFrame:
