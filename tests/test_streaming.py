@@ -177,31 +177,29 @@ def test_a_burst_of_failures_costs_the_same_per_event(spark, pipeline, make_even
     assert sorted(r.latency_ms for r in out)[len(out) // 2] < 0.2
 
 
-def test_learned_and_seeded_keys_fade_as_in_batch(spark, pipeline, tmp_path):
-    """With a half-life of an hour keys are forgotten within two days, many times over the events' span."""
+def test_learned_keys_fade_as_by_definition(spark, pipeline, make_events, tmp_path):
+    """With a half-life of an hour keys are forgotten within two days."""
     quick = replace(DEFAULTS, ewma_halflife_days=1 / 24)
     everything = model(pipeline, adapt=True)
     everything = replace(everything, config=replace(quick, baseline_update_max_risk=1000.0, min_events_for_personal=0))
-    source = in_order(pipeline.events, f"{tmp_path}/in", 3)
+    # nine resources in turn, eight hours apart: each comes back after 72 half-lives
+    hours = 3_600_000_000
+    rows = [event(i, 8 * hours * i, "ENT-FADES", role="nobody", resource_accessed=f"view/{i % 9}") for i in range(60)]
+    source = in_order(make_events(rows), f"{tmp_path}/in", 3)
     out = replay.replay_table(spark, source, pipeline.profiles, everything, sensitivity=sensitivity_by_name(), max_files=1)
     got = {r.event_id: r for r in out.collect()}
-    fitted = brute.by_entity([r.asDict() for r in profiles.fit_rows(pipeline.events, pipeline.cutoff).collect()])
-    groups = brute.by_entity([r.asDict() for r in pipeline.events.collect()])
+    names = ("hour", "location", "device", "resource", "auth", "transition")
+    moments = {"duration_mean": 0.0, "duration_m2": 1.0, "bytes_mean": 0.0, "bytes_m2": 1.0, "auth_failure_rate": 0.0}
+    moments |= {"baseline_latitude": rows[0]["latitude"], "baseline_longitude": rows[0]["longitude"]}
+    seed = {"counts": {k: {} for k in names}, "moments": moments, "n": 0}
     checked = forgotten = 0
-    for entity, events in groups.items():
-        if entity not in fitted:
-            continue
-        seed = brute.frozen(fitted[entity])
-        for k in range(1, len(events), 3):
-            counts, _, n, total = brute.adaptive(events[:k], seed, 1 / 24)
-            if round(n) < DEFAULTS.min_events_for_personal:
-                continue
-            e, row = events[k], got[events[k]["event_id"]]
-            for kind, value, feature in (("resource", e["resource_accessed"], "resource_rarity"), ("auth", e["auth_method"], "auth_method_rarity")):
-                table = counts[kind]
-                known = round(table.get(value, 0.0))
-                want = -math.log((known + 1) / (round(n) + len(table) + 1))
-                assert row[feature] == pytest.approx(want, rel=1e-9)
-                forgotten += len(table) < len(set(seed["counts"][kind]) | {x["resource_accessed" if kind == "resource" else "auth_method"] for x in events[:k]})
-                checked += 1
+    for k in range(1, len(rows)):
+        counts, _, n, _ = brute.adaptive(rows[:k], seed, 1 / 24)
+        e, table = rows[k], counts["resource"]
+        row = got[e["event_id"]]
+        want = -math.log((round(table.get(e["resource_accessed"], 0.0)) + 1) / (round(n) + len(table) + 1))
+        assert row.resource_rarity == pytest.approx(want, rel=1e-9)
+        assert row.is_known_resource == float(e["resource_accessed"] in table)
+        forgotten += len(table) < len({x["resource_accessed"] for x in rows[:k]})
+        checked += 1
     assert checked > 30 and forgotten > 10
