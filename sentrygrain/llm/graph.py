@@ -60,7 +60,8 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: i
     After the first turn, with one hub, a bucket draws ``hubs`` hubs and then each turn four times as many.
     A hub was compared with all members and leaves its bucket. Joins on a large bucket can be split by Spark.
     """
-    stars = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    # written, so that Spark knows how few they are when it chooses the join
+    stars = save(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1"))
     members = buckets.join(stars, "bucket").filter("id <> hub")
     place = F.pmod(F.xxhash64("bucket", "id"), F.col("n") - 1)
     members = save(members.select("bucket", "id", "hub", place.alias("place")))

@@ -292,25 +292,59 @@ def test_lines(docs, rows):
         assert rest[d] == (t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
 
 
-def test_near_lines_need_both_tests(spark):
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def changed_line(rng, line, changes):
+    """``line`` with so many words changed: a letter or the word replaced, a word deleted or inserted."""
+    line = list(line)
+    for at in sorted(rng.sample(range(len(line)), changes), reverse=True):
+        how, w = rng.randrange(5), line[at]
+        if how < 3:
+            k = rng.randrange(len(w))
+            line[at] = w[:k] + rng.choice("xyz") + w[k + (how > 0) :]
+        elif how == 3:
+            line[at] = "".join(rng.choices("abcdefgh", k=len(w)))
+        else:
+            del line[at]
+    return line
+
+
+def line_recall(spark, rng, lengths, changes, pairs):
+    """(near pairs by brute force, those of which one line goes, other pairs of which one goes), for one word frequency law."""
+    common = ["".join(rng.choices("abcdefghijklmnop", k=1 + i // 12)) for i in range(60)]
+    made = [
+        [rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 11))) for _ in range(n)]
+        for n in lengths
+        for _ in range(pairs)
+    ]
+    both = [(" ".join(m), " ".join(changed_line(rng, m, min(changes, len(m) - 1)))) for m in made]
+    near = [5 * edit_distance(a, b) <= max(len(a), len(b)) for a, b in both]
+    rows = [(2 * i + k, x) for i, p in enumerate(both) for k, x in enumerate(p)]
+    found = got(lines.report(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed")
+    assert not any(found[2 * i][0] for i in range(len(both)))
+    hit = [found[2 * i + 1][0] for i in range(len(both))]
+    return sum(near), sum(h for h, n in zip(hit, near, strict=True) if n), sum(h for h, n in zip(hit, near, strict=True) if not n)
+
+
+def test_near_lines_against_brute_force(spark):
     rng = random.Random(8)
-    base = [f"word{rng.randrange(9999)}" for _ in range(60)]
-    near, far = list(base), list(base)
-    near[30] += "x"
-    far[:20] = [f"other{i}" for i in range(20)]
-    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
-    sims = {r["doc_id"]: r["sim"] for r in lines.signed(lines.lines(df)).collect()}
-    found = got(lines.report(df), "n_removed")
-    for d in (2, 3):
-        assert found[d] == (int((sims[1] ^ sims[d]).bit_count() <= lines.DISTANCE and d == 2),)
-    assert found[1] == (0,)
+    for changes, words, least in ((1, (8, 12, 20, 30, 50), 0.97), (2, (20, 30, 50), 0.95)):
+        near, hit, wrong = line_recall(spark, rng, words, changes, 40)
+        assert near > 100 and hit >= least * near and wrong == 0
 
 
 def test_lines_near_one_hub_only_by_simhash_are_compared(spark, monkeypatch):
-    """Lines of equal SimHash whose first is like none of the others."""
+    """Lines of one bucket whose first is like none of the others."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lines, "signed", lambda rows, own=lines.signed: own(rows).withColumn("sim", F.lit(5).cast("long")))
+    monkeypatch.setattr(lines, "block_keys", lambda classes: classes.select(F.lit(5).cast("long").alias("bucket"), "id"))
     rng = random.Random(12)
     texts = [" ".join(f"{chr(97 + k % 26)}{rng.randrange(10**6):x}" for _ in range(12)) for k in range(30)]
     texts += [t + " x" for t in texts[1:]]
@@ -322,7 +356,7 @@ def test_lines_near_one_hub_only_by_simhash_are_compared(spark, monkeypatch):
 def test_long_lines_by_edit_distance_and_short_lines_by_equality(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lines, "signed", lambda rows, own=lines.signed: own(rows).withColumn("sim", F.lit(5).cast("long")))
+    monkeypatch.setattr(lines, "block_keys", lambda classes: classes.select(F.lit(5).cast("long").alias("bucket"), "id"))
     rng = random.Random(13)
     base = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(100)]
     near, far = list(base), list(base)
@@ -334,20 +368,17 @@ def test_long_lines_by_edit_distance_and_short_lines_by_equality(spark, monkeypa
     assert got(lines.report(df), "removed") == {0: ("",), 1: ("0",), 2: ("",), 3: ("",), 4: ("0,2",)}
 
 
-def test_blocks_miss_nothing(spark):
+def test_a_changed_word_changes_two_blocks_at_most(spark):
     rng = random.Random(9)
-    pairs = []
-    for _ in range(200):
-        a = rng.randrange(2**63)
-        b = a
-        for j in rng.sample(range(63), lines.DISTANCE):
-            b ^= 1 << j
-        pairs.append((a, b))
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(pairs, "a long, b long")
-    shared = F.arrays_overlap(lines.block_keys(F.col("a")), lines.block_keys(F.col("b")))
-    assert df.filter(~shared).count() == 0
+    base = [f"word{rng.randrange(10**6)}" + "x" * rng.randrange(9) for _ in range(40)]
+    other = [" ".join(base[:at] + ["changed"] + base[at + 1 :]) for at in range(40)]
+    df = spark.createDataFrame([(0, " ".join(base)), *enumerate(other, 1)], "doc_id long, text string")
+    blocks = {}
+    for r in lines.signed(lines.lines(df)).collect():
+        packed = [r[f"s{i}"] % 2**64 for i in range(3)]
+        blocks[r["doc_id"]] = [b for s in packed for b in (s >> 32, s & 0xFFFFFFFF)]
+    changed = [sum(a != b for a, b in zip(blocks[0], blocks[d], strict=True)) for d in range(1, 41)]
+    assert max(changed) == 2 and min(changed) >= 1
 
 
 # -- packing -------------------------------------------------------------------------------
