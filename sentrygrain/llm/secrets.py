@@ -5,7 +5,9 @@ characters that needs many tokens for its length is a random string. Of a run
 that is none as a whole, segments (between + / _ = -) and windows of tokens are
 tested too, and a window's segments go as a whole. Known digests (hexadecimal of
 a digest's length), UUIDs and plain numbers are excluded first, as runs and as
-segments, and so are a pattern's spans.
+segments, and so are a pattern's spans. Identifiers made of short parts (paths,
+dates, phone numbers, class names) or mostly of digits are no random strings: each
+short part costs a token whatever it says, while random base64 has a separator in 32 characters.
 
 Spans are (kind, start, end) in code points, end exclusive, over the whole
 text; null or empty text has none. Kinds in order: assign, access, hex, random.
@@ -49,6 +51,9 @@ MIN_RUN, CHARS_PER_TOKEN = 20, 1.9
 #: The same for windows within a run, and for letters of one case, of which at least so many must differ.
 WINDOW_CHARS_PER_TOKEN, LOWER_CHARS_PER_TOKEN, UPPER_CHARS_PER_TOKEN, MIN_LETTERS = 1.7, 1.85, 1.7, 9
 
+#: Fewer characters a part, separators included, or a smaller share of letters (percent) make a run an identifier.
+MIN_PART, LETTERS_PERCENT = 6.5, 20
+
 
 def _class(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -85,7 +90,16 @@ def is_random(run: str, ranks: str) -> bool:
     return _many_tokens(run, len(encoding(ranks).encode_ordinary(run)), CHARS_PER_TOKEN)
 
 
+def _identifier(run: str) -> bool:
+    """Whether a run consists of short parts, or of numbers."""
+    parts_ = [p for p in _EDGE.split(run) if p]
+    letters = sum(c.isalpha() for c in run)
+    return len(run.strip("+/_=-")) < MIN_PART * len(parts_) or 100 * letters < LETTERS_PERCENT * len(run)
+
+
 def _many_tokens(run: str, tokens: int, limit: float) -> bool:
+    if _identifier(run):
+        return False
     kinds = sum(bool(re.search(k, run[1:])) for k in ("[a-z]", "[A-Z]", "[0-9]", "[+/_=-]"))
     if kinds < 2:  # one case of letters, a word, capitalised or not, a rule of dashes
         if not run.isalpha() or len(set(run)) < MIN_LETTERS:

@@ -500,6 +500,70 @@ def test_random_strings_within_readable_runs_and_of_one_case():
         assert secrets.all_spans(r, ranks)[1] == [], r
 
 
+def test_identifiers_of_short_parts_are_no_secrets(spark):
+    names = ["/usr/lib/x86_64-linux-gnu/libc6", "ISBN-978-3-16-148410-0", "2024-01-02T03-04-05Z_backup", "10/12/2023-11/05/2024"]
+    names += ["+49-170-1234567-0049-30", "s3/us-east-1/prod-v2/2024/10", "btn-lg_col-md-6_mt-3_px-2", "H2SO4-NaOH-CaCO3-KMnO4-Fe2O3"]
+    names += ["20240102T030405Z_20240203T040506Z", "9783161484100-9783161484117"]
+    rng = random.Random(21)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choices(digits + lower + upper + "+/", k=n)) for n in (24, 32, 40) for _ in range(100)]
+    keys += ["".join(rng.choices(digits + lower + upper + "-_", k=n)) for n in (24, 32, 40) for _ in range(100)]
+    rows = [(i, f"see {x} now") for i, x in enumerate(names + keys)]
+    found = got(secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")), "n_random", "n_hex")
+    assert [names[i] for i in range(len(names)) if found[i] != (0, 0)] == []
+    assert sum(found[i][0] > 0 for i in range(len(names), len(rows))) >= 0.95 * len(keys)
+
+
+def base_by_characters(text):
+    """Base spans by a scan without regular expressions."""
+    out, word, n = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), len(text)
+
+    def run(at, chars):
+        while at < n and text[at] in chars:
+            at += 1
+        return at
+
+    for kind, chars, least in (("access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < n:
+            starts = text.startswith("AKIA", at) if kind == "access" else text[at] in chars
+            end = run(at + 4 * (kind == "access"), chars) if starts else at
+            if starts and end > at + 4 * (kind == "access"):
+                out += [(kind, at, end)] * (end - at >= least)
+                at = end
+            else:
+                at += 1
+    at = 0
+    while at < n:
+        end = 0
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[at : at + len(name)]) != name:
+                continue
+            k = at + len(name)
+            k += text[k : k + 1] in ('"', "'") and k < n
+            k = run(k, {" "})
+            if text[k : k + 1] not in (":", "=") or k >= n:
+                continue
+            k = run(k + 1, {" "})
+            k += text[k : k + 1] in ('"', "'") and k < n
+            if (stop := run(k, word)) > k:
+                out += [("assign", at, stop)] * (stop - k >= 6)
+                end = stop
+        at = end or at + 1
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_against_a_scan_by_characters(spark):
+    rng = random.Random(22)
+    bits = ["password", "PassWd", "secret", "tOken", "api_key", "apikey", "AKIA", "A" * 17, "0123456789abcdef", "deadbeef" * 3, ":", "=", " ", '"', "'", "é", "hunter22", "abc.de", "\n", "-", "/"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(1, 14)))) for i in range(3000)]
+    found = got(secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")), "base_sha256", "n_assign", "n_access", "n_hex")
+    for i, text in rows:
+        want = base_by_characters(text)
+        count = Counter(k for k, *_ in want)
+        assert found[i] == (sha(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()), *(count[k] for k in secrets.KINDS[:3])), text
+
+
 def test_redaction_keeps_other_columns(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
