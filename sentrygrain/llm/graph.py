@@ -85,11 +85,11 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: i
         fresh = save(pairs.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
-        tried = save(tried.union(fresh))
+        tried = tried.union(fresh)  # both are written; a turn adds its own pairs only
         more = save(verify(fresh))
         if more.isEmpty():
             continue
-        links = save(links.union(more))
+        links = links.union(more)
         ends = more
         for side in "ab":
             ends = ends.join(placed.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side)
