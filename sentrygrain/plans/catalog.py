@@ -649,7 +649,7 @@ def _(p):
 
 def _activation(name: str) -> Callable[[Pipeline], DataFrame]:
     signal = next(s for s in DEFAULTS.risk.signals if s.name == name)
-    return lambda p: _frame(p).select("event_id", risk.context_activation(signal, p.given_calibration).alias("activation"))
+    return lambda p: _frame(p).select("event_id", risk.signal_evidence(signal, p.given_calibration).alias("activation"))
 
 
 @query("r03_ramp")
