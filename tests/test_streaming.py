@@ -1,3 +1,4 @@
+import json
 import math
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from sentrygrain.contracts import OBSERVATION_SCHEMA
 from sentrygrain.operators import drift, profiles
 from sentrygrain.plans.pipeline import sensitivity_by_name
 from sentrygrain.streaming import replay
-from sentrygrain.streaming.scorer import LiveModel
+from sentrygrain.streaming.scorer import LiveModel, prepare
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +75,26 @@ def test_adaptive_profiles_agree_with_the_closed_form(spark, pipeline, source):
         assert row.resource_rarity == pytest.approx(rarity, rel=1e-9)
 
 
+def test_wide_profiles_are_looked_up_like_narrow_ones(spark, make_events):
+    """Counts, values per kind and levels are the same whether a kind is a map or rows."""
+    seen = [event(i, i * 60_000_000, resource_accessed=f"view/{i % 5}", device_id=f"DEV-{i % 4}") for i in range(40)]
+    rows = make_events(seen)
+    got = {}
+    for limit in (2_000, 3):
+        fitted = profiles.fit_profiles(rows, 10**18, replace(DEFAULTS, wide_profile_keys=limit))
+        assert (fitted.wide_entity is None) == (limit == 2_000)
+        table = prepare(rows, fitted)
+        got[limit] = {r.event_id: r.asDict() for r in table.collect()}
+    assert got[3].keys() == got[2_000].keys()
+    for key, wide in got[3].items():
+        narrow = got[2_000][key]
+        for side in ("own", "cohort"):
+            levels = [json.loads(r.pop(f"{side}_levels")) for r in (wide, narrow)]
+            assert levels[0] == levels[1]
+            assert levels[0]["resource"] == {"8": 5} and levels[0]["device"] == {"10": 4}
+        assert wide == narrow
+
+
 def tiny_run(spark, pipeline, make_events, path, deliveries, **options):
     root = path + "-run"
     for rows in deliveries:
