@@ -88,3 +88,22 @@ def test_display_score_clips(spark):
     df = spark.createDataFrame([(0.1,), (0.5,), (2.0,)], "s double")
     assert [r[0] for r in df.select(detectors.display_score(F.col("s"), 0.1, 0.9)).collect()] == pytest.approx([0, 0.5, 1])
     assert df.select(detectors.display_score(F.col("s"), 0.4, 0.4)).first()[0] == 0.0
+
+
+def test_classifier_does_not_depend_on_where_nodes_are_grown(rows):
+    mixed = rows.withColumn("label", F.when(F.col("hour") > 1.0, "INSIDER_DRIFT").otherwise(F.col("label")))
+
+    def nodes(df, **how):
+        return sorted(map(tuple, classifier.fit_classifier(df, SMALL_FOREST, **how).nodes.collect()))
+
+    whole = nodes(mixed)  # every tree in one task
+    assert len(whole) > 40 and {n[0] for n in whole} == set(range(8))
+    assert nodes(mixed.repartition(7)) == whole
+    assert nodes(mixed, local_rows=60) == whole  # upper nodes from added histograms
+    assert nodes(mixed, local_rows=0) == whole  # all nodes
+
+
+def test_classifier_importances(rows):
+    model = classifier.fit_classifier(rows.withColumn("hour", F.lit(1.0)), SMALL_FOREST)
+    assert sum(model.importances) == pytest.approx(1.0) and min(model.importances) >= 0.0
+    assert model.importances[FEATURES.index("hour")] == 0.0
