@@ -720,3 +720,22 @@ def test_pipeline(spark, docs, rows, monkeypatch):
     assert out["secret_scans"] == {d: secrets.hide(t, secrets.all_spans(t, secrets.default_ranks())[1]) for d, t in out["near_dedup"].items()}
     tokens = {r["doc_id"]: r["doc_tokens"] for r in stages["packing"](spark, now, "").collect()}
     assert set(tokens) == set(out["secret_scans"])
+
+
+def test_rows_that_do_not_decode_to_their_text_are_told():
+    v = pieces.vocabulary(pieces.default_model())
+    texts = ["plain words here", "", "written ▁ mark", "\U0001f9ea no pieces", "another  row", "tail"]
+    t = pieces.spaced(next(arrays.parts(pa.array(texts))))
+    rows = []
+    for text in texts:
+        unit = pieces.lattice_text((" " + text).encode()) if text else ""
+        rows.append(np.array([v.weights[c][0] if c in v.weights else -1 - ord(c) for c in unit], np.int32))
+
+    def told():
+        return v.decode_to(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), t).tolist()
+
+    assert told() == [True] * 6
+    rows[0] = rows[0][:-1]  # too short
+    rows[3] = np.append(rows[3][:-1], rows[3][1])  # another character at the end
+    rows[4] = rows[4][[0, 2, 1, *range(3, len(rows[4]))]]  # as long, two characters swapped
+    assert told() == [False, True, True, False, False, True]
