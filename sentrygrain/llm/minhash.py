@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 _EMPTY = np.uint64(2**64 - 1)
 _ATTEMPTS = 64
+#: Bytes of text whose signatures are held at once: a short text's takes many times its size.
+PART = 1 << 18
 
 
 def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in parts(batch.column(1)):
+            for t in parts(batch.column(1), PART):
                 hashes, bounds = shingle_sets(t, width)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(k)))]) for k in (3, 5 << 32)]
                 sums = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]

@@ -739,3 +739,14 @@ def test_rows_that_do_not_decode_to_their_text_are_told():
     rows[3] = np.append(rows[3][:-1], rows[3][1])  # another character at the end
     rows[4] = rows[4][[0, 2, 1, *range(3, len(rows[4]))]]  # as long, two characters swapped
     assert told() == [False, True, True, False, False, True]
+
+
+def test_signatures_are_made_for_little_text_at_a_time(spark, monkeypatch):
+    rows = [(i, f"short text {i % 70} of few words") for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(map(str, minhash.sketches(docs, 3).collect()))
+    monkeypatch.setattr(minhash, "PART", 500)
+    assert sorted(map(str, minhash.sketches(docs, 3).collect())) == want
+    column = pa.array([f"{i:040d}" for i in range(50_000)])  # 2 MB: 77 MB a copy of the signatures at once
+    monkeypatch.undo()
+    assert max(t.n for t in arrays.parts(column, minhash.PART)) * minhash.BINS * 8 < 16 << 20
