@@ -149,3 +149,31 @@ def test_anchor_gaps_wait_for_the_horizon(make_events):
     got = {r.event_id[-1]: r.next_gap_minutes for r in prepare.anchors(make_events(rows)).collect()}
     assert got == {"1": 90.0}
 
+
+
+def test_joins_of_wide_kinds_move_no_profiles(make_events, monkeypatch):
+    """Before, every event went through these joins with the maps of its profile."""
+    events = make_events(dense(seed=6))
+    fitted = profiles.fit_profiles(events, prepare.cutoff_micros(events), HOT)
+    seen, joined = [], features._join_wide
+    monkeypatch.setattr(features, "_join_wide", lambda rows, *rest: seen.append(rows.columns) or joined(rows, *rest))
+    features.build_features(events, fitted, sensitivity_by_name(), HOT)
+    assert seen and not {"profile", "_personal", "_cohort"} & set(seen[0])
+
+
+def test_wide_kinds_of_a_cohort_reach_young_and_unknown_entities(make_events):
+    """The key of the wide lookup is chosen as the profile is: own if mature, else the cohort's, else own or none."""
+    train = [event(i, i * 10**9, "ENT-1", resource_accessed=f"view/{i % 5}") for i in range(40)]
+    train += [event(40 + i, 40 * 10**9 + i * 10**9, "ENT-2", resource_accessed=f"view/{i}") for i in range(2)]
+    late = [event(50 + i, 60 * 10**9 + i * 10**9, e, resource_accessed="view/1") for i, e in enumerate(["ENT-1", "ENT-2", "ENT-3"])]
+    late.append(event(60, 90 * 10**9, "ENT-4", role="nobody", resource_accessed="view/1"))
+    events = make_events(train + late)
+    cutoff = 1_704_067_200_000_000 + 45 * 10**9
+    tables = []
+    for config in (DEFAULTS, HOT):
+        fitted = profiles.fit_profiles(events, cutoff, config)
+        assert (fitted.wide_cohort is not None) == (config is HOT)
+        built = features.build_features(events, fitted, sensitivity_by_name(), config)
+        tables.append({r.event_id: tuple(r[c] for c in (*FEATURES, "profile_source")) for r in built.collect()})
+    assert tables[0] == tables[1]
+    assert {r[-1] for r in tables[0].values()} == {"entity", "cohort", "none"}
