@@ -99,3 +99,11 @@ def test_unknown_signal_feature_is_rejected():
 
     with pytest.raises(ValueError):
         replace(DEFAULTS.risk, signals=(Signal("x", "X", 1.0, "ramp", ("nonsense",)),))
+
+
+def test_engine_fit_joins_the_labels_once(pipeline, monkeypatch):
+    """Before, each pass of the quantiles joined frame and labels again."""
+    seen, fit = [], risk.fit_calibration
+    monkeypatch.setattr(risk, "fit_calibration", lambda rows, *rest: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *rest))
+    got = risk.fit_engine(pipeline.given_frame, pipeline.given_scores, pipeline.given_thresholds, pipeline.config)
+    assert "Join" not in seen[0] and got == pipeline.given_calibration
