@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import ATTACKS, BENIGN, BUDGET_FRACTIONS, FPR_TARGETS, HARD_CATEGORIES, INSIDER, LABELS, MALICIOUS
 from ..functions.scoring import micros
+from ..sources import stages
 from .ranking import cumulative, exact_quantiles, first_k_many
 from .timeline import carried_previous
 
@@ -75,6 +76,11 @@ def _truth_counts(y: str) -> dict[str, Column]:
     return {"pos": F.col(y), "neg": ~F.col(y)}
 
 
+def stored_curve(df: DataFrame, s: str, y: str = "is_attack") -> DataFrame:
+    """The running totals that rankings and curves of one score are made from, stored for several of them."""
+    return stages.save(by_score(df, s, _truth_counts(y)))
+
+
 def _ranking_aggregates(pos: str, neg: str) -> tuple[Column, Column]:
     """Average precision and tie-aware ROC-AUC over a :func:`by_score` table."""
     cum_pos, cum_neg = F.col(f"cum_{pos}"), F.col(f"cum_{neg}")
@@ -85,14 +91,21 @@ def _ranking_aggregates(pos: str, neg: str) -> tuple[Column, Column]:
     return F.when(both, steps / n_pos), F.when(both, pairs / (n_pos.cast("double") * n_neg))
 
 
-def ranking_metrics(df: DataFrame, s: str, y: str = "is_attack") -> DataFrame:
-    """One row: average precision ``pr_auc`` and ``roc_auc``."""
+def ranking_metrics(df: DataFrame, s: str, y: str = "is_attack", *, curve: DataFrame | None = None) -> DataFrame:
+    """One row: average precision ``pr_auc`` and ``roc_auc``; ``curve`` may be a :func:`stored_curve` of the score."""
     pr, roc = _ranking_aggregates("pos", "neg")
-    return by_score(df, s, _truth_counts(y)).agg(pr.alias("pr_auc"), roc.alias("roc_auc"))
+    curve = by_score(df, s, _truth_counts(y)) if curve is None else curve
+    return curve.agg(pr.alias("pr_auc"), roc.alias("roc_auc"))
 
 
 def detection_metrics(
-    df: DataFrame, s: str, y: str = "is_attack", *, threshold: float | None = None, budget_fraction: float | None = None
+    df: DataFrame,
+    s: str,
+    y: str = "is_attack",
+    *,
+    threshold: float | None = None,
+    budget_fraction: float | None = None,
+    curve: DataFrame | None = None,
 ) -> DataFrame:
     """The full record at a threshold or at a budget; exactly one is given."""
     if (threshold is None) == (budget_fraction is None):
@@ -110,13 +123,13 @@ def detection_metrics(
     )
     point = "threshold" if budget_fraction is None else f"budget_{budget_fraction}"
     return (
-        with_ratios(counts).crossJoin(ranking_metrics(df, s, y)).withColumn("operating_point", F.lit(point))
+        with_ratios(counts).crossJoin(ranking_metrics(df, s, y, curve=curve)).withColumn("operating_point", F.lit(point))
     )  # one row each
 
 
-def pr_curve(df: DataFrame, s: str, y: str = "is_attack") -> DataFrame:
+def pr_curve(df: DataFrame, s: str, y: str = "is_attack", *, curve: DataFrame | None = None) -> DataFrame:
     """(recall, precision, threshold) per distinct score; empty without positives."""
-    curve = by_score(df, s, _truth_counts(y))
+    curve = by_score(df, s, _truth_counts(y)) if curve is None else curve
     totals = df.agg(F.count_if(F.col(y)).alias("p")).where("p > 0")
     return curve.crossJoin(F.broadcast(totals)).select(  # one row
         (F.col("cum_pos") / F.col("p")).alias("recall"),
@@ -125,9 +138,9 @@ def pr_curve(df: DataFrame, s: str, y: str = "is_attack") -> DataFrame:
     )
 
 
-def roc_curve(df: DataFrame, s: str, y: str = "is_attack") -> DataFrame:
+def roc_curve(df: DataFrame, s: str, y: str = "is_attack", *, curve: DataFrame | None = None) -> DataFrame:
     """(fpr, tpr, threshold) without collinear points, from (0, 0, inf)."""
-    curve = by_score(df, s, _truth_counts(y))
+    curve = by_score(df, s, _truth_counts(y)) if curve is None else curve
     step = F.struct("pos", "neg")
     curve = carried_previous(curve, [], ["minus"], step, "_next", following=True)
     totals = df.agg(F.count_if(F.col(y)).alias("p"), F.count_if(~F.col(y)).alias("n")).where("p > 0 and n > 0")
@@ -266,9 +279,10 @@ def event_level_report(
     """Long table (detector, metric, value) over V02-V05, V08, V12 and V13."""
     parts = []
     for s in detectors:
-        sections = {"budget": detection_metrics(df, s, budget_fraction=fraction).drop("operating_point")}
+        curve = stored_curve(df, s)
+        sections = {"budget": detection_metrics(df, s, budget_fraction=fraction, curve=curve).drop("operating_point")}
         for name, t in thresholds.get(s, {}).items():
-            sections[f"point_{name}"] = detection_metrics(df, s, threshold=t).drop("operating_point")
+            sections[f"point_{name}"] = detection_metrics(df, s, threshold=t, curve=curve).drop("operating_point")
         frames = [_long(section, frame) for section, frame in sections.items()]
         frames.append(_long("sweep", budget_sweep(df, s), "budget_fraction"))
         frames.append(_long("recall_at_fpr", recall_at_fpr(df, s), "fpr_target"))
