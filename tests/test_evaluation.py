@@ -142,3 +142,8 @@ def test_metrics_sections_order_the_scores_once_and_store_predictions(pipeline,
     found = {}
     assert _times_ordered(monkeypatch, lambda: found.update(catalog._sections(pipeline))) == 1
     assert "Join" not in found["per_class"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matched_thresholds_read_a_joined_table(pipeline):
+    train, rows = catalog._methods(pipeline)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (train, rows))
