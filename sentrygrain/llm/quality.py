@@ -24,6 +24,8 @@ from .arrays import Spans, Texts, mix, parts, per_row, windows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 REPEAT_WIDTH = 8
+#: Bytes of text that are measured at once: a worker holds over a hundred times as many.
+PART = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -109,7 +111,7 @@ def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in parts(batch.column(kept.index(text)))]
+            found = [measure(t) for t in parts(batch.column(kept.index(text)), PART)]
             columns = list(batch.columns)
             columns += [pa.array(np.concatenate([f[m] for f in found] or [np.zeros(0)]).astype(np.int64)) for m in MEASURES]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *MEASURES])

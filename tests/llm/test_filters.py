@@ -1,8 +1,12 @@
 """What keeps work and memory down must leave results as they are."""
 
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
-from sentrygrain.llm import pieces
+from sentrygrain.llm import arrays, pieces, quality
 
 
 def test_units_of_the_lattice_are_read_at_once():
@@ -26,3 +30,22 @@ def test_vocabulary_finds_its_prefixes_by_their_top_bits():
         for q in range(p + 1, 5 if p < 4 else 12):
             if text[p:q] in v.weights and q <= (4 if p < 4 else 11):
                 assert (p, v.weights[text[p:q]][0], q - p) in found
+
+
+def test_measuring_many_texts_holds_one_part_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(3000)]
+    text = [" ".join(rng.choices(words, k=1000)) for _ in range(700)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+    runs = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or df.selectExpr("doc_id", *(f"0L as {m}" for m in quality.MEASURES)))
+    monkeypatch.setattr(arrays, "_POWERS", {})
+    monkeypatch.setattr(arrays, "_PRIME_POWERS", {})
+    quality.with_ledger(df)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(text)], names=["doc_id", "text"])
+    tracemalloc.start()
+    out = list(runs[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and out[0].num_rows == 700
+    assert peak < 130 << 20  # the measurements alone take 82 MiB, with parts of 2 MiB 196
