@@ -7,7 +7,9 @@ its smallest hash. Empty bins borrow from bins drawn by a hash of (bin,
 attempt), the same for every document. Bands of bins are buckets.
 
 Equal sets are one item from the start. Star-shaped candidate pairs of distinct
-sets are confirmed on the full sets, computed from the whole texts. Documents
+sets are confirmed on the full sets, computed from the whole texts. After the first
+star of a bucket, only those are that their sizes and marks allow: a shingle flips one bit
+of its set's mark, so two marks differ in at most as many bits as the sets in shingles. Documents
 without words are linked with nothing. Ids must be unique; of rows that repeat
 an id with one text, each is returned. Extra columns are ignored.
 """
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import save
@@ -30,6 +32,8 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 _EMPTY = np.uint64(2**64 - 1)
 _ATTEMPTS = 64
+#: 64-bit words of a set's mark.
+MARK = 16
 #: Bytes of text whose signatures are held at once: a short text's takes many times its size.
 PART = 1 << 18
 
@@ -90,9 +94,27 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return value.view(np.int64)
 
 
+def marks(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``MARK`` words for each set: the parity of its shingles on each bit."""
+    out = np.zeros((len(bounds) - 1) * MARK, np.uint64)
+    bit = mix(hashes ^ np.uint64(9)) % np.uint64(64 * MARK)
+    word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * MARK + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def may_be_near(a: str, b: str, percent: int) -> Column:
+    """False only for sets whose sizes or marks (columns ``a`` and ``b``: n, bits) rule the similarity out."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(1, MARK)),
+                 F.bit_count(F.col(f"{a}.bits")[0].bitwiseXOR(F.col(f"{b}.bits")[0])))
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): set_a and set_b together name the set."""
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+    """(doc_id, n_shingles, set_a, set_b, bands, bits): set_a and set_b together name the set."""
+    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +129,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(np.diff(bounds)),
                         *(pa.array(s) for s in sums),
                         pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * BANDS), pa.array(bands)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * MARK), pa.array(marks(hashes, bounds))),
                     ],
                     names=names,
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
+        run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
     )
 
 
@@ -173,7 +196,9 @@ def near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             texts.append(save(squeezed(docs).join(ids.hint("merge"), "doc_id", "left_semi")))
         return confirmed(pairs, texts[0], width, percent)
 
-    _, parts_ = linked(buckets, verify)
+    # written without the bands: the turns read it again
+    held = save(items.select(F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), "bits").alias("mark")).distinct())
+    _, parts_ = linked(buckets, verify, marks=held, may=lambda a, b: may_be_near(a, b, percent))
     placed = member.join(parts_.withColumnRenamed("id", "item"), "item", "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "item").alias("component_id"))
     alone = found.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -5,8 +5,58 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from sentrygrain.llm import arrays, pieces, quality
+from sentrygrain.llm import arrays, graph, minhash, pieces, quality
+
+
+def sets_and_marks(texts, width=3):
+    t = next(arrays.parts(pa.array(texts)))
+    hashes, bounds = minhash.shingle_sets(t, width)
+    bits = minhash.marks(hashes, bounds).reshape(-1, minhash.MARK)
+    return [set(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bits
+
+
+def test_marks_rule_out_no_near_pair(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for changes in (0, 1, 2, 4, 5, 6, 8, 10, 20, 40, 200):
+        for _ in range(4):
+            own = list(base)
+            for i in rng.sample(range(200), changes):
+                own[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own[: rng.choice((200, 190, 120))]))
+    texts += ["", "one", "one two three", "one two three four"]
+    sets, bits = sets_and_marks(texts)
+    rows = [(i, (len(s), [int(x) for x in b])) for i, (s, b) in enumerate(zip(sets, bits, strict=True))]
+    df = spark.createDataFrame(rows, "id long, mark struct<n: long, bits: array<long>>")
+    both = df.withColumnsRenamed({"id": "a", "mark": "mark_a"}).crossJoin(df.withColumnsRenamed({"id": "b", "mark": "mark_b"}))
+    kept = {(r.a, r.b) for r in both.filter(minhash.may_be_near("mark_a", "mark_b", 85)).select("a", "b").collect()}
+    near = {
+        (a, b)
+        for a, x in enumerate(sets)
+        for b, y in enumerate(sets)
+        if x and y and 100 * len(x & y) >= 85 * len(x | y)
+    }
+    assert near <= kept
+    far = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if 100 * len(x & y) < 70 * len(x | y)}
+    assert far and len(far & kept) < 0.02 * len(far)
+
+
+def test_pairs_that_marks_rule_out_are_not_verified(spark):
+    n, asked = 120, []
+    buckets = spark.range(n).select((F.col("id") * 0).alias("bucket"), "id")
+    marks = spark.range(n).select("id", F.expr("id div 2").alias("mark"))
+
+    def verify(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        asked.extend(found)
+        return spark.createDataFrame([p for p in found if p[0] // 2 == p[1] // 2], "a long, b long")
+
+    _, placed = graph.linked(buckets, verify, 2, marks, lambda a, b: F.col(a) == F.col(b))
+    assert {r.id: r.component for r in placed.collect()} == {i: i // 2 * 2 for i in range(n)}
+    assert len(asked) == len(set(asked)) <= 2 * n  # not n * (n - 1) / 2
 
 
 def test_units_of_the_lattice_are_read_at_once():
