@@ -9,6 +9,7 @@ from build import START, event
 from sentrygrain.config import DEFAULTS, FEATURES
 from sentrygrain.functions.scoring import micros
 from sentrygrain.operators import features, prepare, profiles
+from sentrygrain.plans import catalog
 from sentrygrain.plans.pipeline import sensitivity_by_name
 
 HOT = replace(DEFAULTS, chunk_rows=7, wide_profile_keys=2)
@@ -177,3 +178,16 @@ def test_wide_kinds_of_a_cohort_reach_young_and_unknown_entities(make_events):
         tables.append({r.event_id: tuple(r[c] for c in (*FEATURES, "profile_source")) for r in built.collect()})
     assert tables[0] == tables[1]
     assert {r[-1] for r in tables[0].values()} == {"entity", "cohort", "none"}
+
+
+def test_profile_rows_hold_wide_kinds(make_events):
+    """A kind with more values than a map may hold is listed as a narrow one is, beside its profile's sizes."""
+    rows = make_events([event(i, i * 60_000_000, f"ENT-{i % 2}", resource_accessed=f"view/{i % 5}") for i in range(40)])
+    got = {}
+    for config in (DEFAULTS, HOT):
+        fitted = profiles.fit_profiles(rows, 10**18, config)
+        for side, table, wide in (("entity", fitted.entity, fitted.wide_entity), ("cohort", fitted.cohort, fitted.wide_cohort)):
+            assert (wide is not None) == (config is HOT)
+            got[side, config is HOT] = sorted(map(tuple, catalog._map_rows(table, wide).collect()))
+    assert got["entity", True] == got["entity", False] and got["cohort", True] == got["cohort", False]
+    assert sum(n for *_, kind, _, n in got["cohort", True] if kind == "transition") == 40
