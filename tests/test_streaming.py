@@ -12,7 +12,7 @@ from sentrygrain.contracts import OBSERVATION_SCHEMA
 from sentrygrain.operators import drift, profiles
 from sentrygrain.plans.pipeline import sensitivity_by_name
 from sentrygrain.streaming import replay
-from sentrygrain.streaming.scorer import LiveModel, prepare
+from sentrygrain.streaming.scorer import ENTERS, LiveModel, _packed, prepare
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +95,17 @@ def test_wide_profiles_are_looked_up_like_narrow_ones(spark, make_events):
         assert wide == narrow
 
 
+def test_events_move_while_they_are_short(pipeline):
+    """One exchange of the events, of the columns that are read, below the joins with the profiles; few columns enter Python."""
+    rows = _packed(prepare(pipeline.events.drop("label", "is_attack", "campaign_id"), pipeline.profiles), False)
+    assert rows.columns == ["entity_id", *ENTERS]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("RepartitionByExpression [entity_id")
+    assert above.count("LeftOuter") == 2 and below.count("RepartitionByExpression") == 0
+    moved = below.split("Project [", 1)[1].splitlines()[0]
+    assert "device_id" in moved and not any(c in moved for c in ("source_ip", "arrivals", "counts", "levels"))
+
+
 def tiny_run(spark, pipeline, make_events, path, deliveries, **options):
     root = path + "-run"
     for rows in deliveries:
