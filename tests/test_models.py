@@ -1,10 +1,11 @@
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentrygrain.config import DEFAULTS, FEATURES
+from sentrygrain.config import DEFAULTS, FEATURES, LABELS
 from sentrygrain.operators import classifier, detectors, forest
 
 SMALL_FOREST = replace(DEFAULTS, forest_trees=40, forest_sample=64, classifier_trees=8, classifier_depth=5)
@@ -107,3 +108,37 @@ def test_classifier_importances(rows):
     model = classifier.fit_classifier(rows.withColumn("hour", F.lit(1.0)), SMALL_FOREST)
     assert sum(model.importances) == pytest.approx(1.0) and min(model.importances) >= 0.0
     assert model.importances[FEATURES.index("hour")] == 0.0
+
+
+def test_histograms_take_little_memory():
+    """A task may hold a million rows, so counting them may not take hundreds of bytes a row."""
+    rng = np.random.default_rng(3)
+    n, nodes = 200_000, 5
+    rows = np.zeros(n, classifier.ROW)
+    rows["x"], rows["y"], rows["times"] = rng.integers(0, classifier.BINS, (n, len(FEATURES))), rng.integers(0, 3, n), rng.integers(1, 4, n)
+    subsets = classifier._subsets(1, 0, np.arange(1, nodes + 1))
+    for at in (np.sort(rng.integers(0, nodes, n)), rng.integers(0, nodes, n)):
+        tracemalloc.start()
+        got = classifier._histograms(rows, at, subsets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 * n
+        for k in range(nodes):
+            own = rows[at == k]
+            for j, f in enumerate(subsets[k]):
+                want = np.zeros((classifier.BINS, len(LABELS)))
+                np.add.at(want, (own["x"][:, f], own["y"]), own["times"])
+                assert (got[k, j] == want).all()
+
+
+def test_trees_reach_the_driver_packed(rows):
+    """One packed body a tree, smaller than its nodes' numbers, with the leaves' shares."""
+    model = classifier.fit_classifier(rows, SMALL_FOREST)
+    nodes = model.nodes.toPandas()
+    assert [type(body) for body in model.trees] == [bytes] * 8
+    assert sum(map(len, model.trees)) < 8 * nodes.size
+    for number, body in enumerate(model.trees):
+        own, tree = nodes[nodes["tree"] == number].sort_values("node"), classifier._Tree.of(body)
+        assert tree.nodes["feature"].tolist() == own["feature"].tolist() and tree.nodes["threshold"].tolist() == own["threshold"].tolist()
+        weights = own[own["feature"] < 0][list(classifier.WEIGHTS)].to_numpy()
+        assert np.allclose(tree.shares, weights / weights.sum(axis=1, keepdims=True))
